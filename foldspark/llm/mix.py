@@ -74,7 +74,7 @@ def label_weights(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").select("doc_id", F.when(F.col("quality") == 1, 2.0).otherwise(0.5).alias("weight"))
 
 
-SQL_WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> ''))"
+SQL_WORDS = "len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> ''))"
 SQL = f"""
 WITH q AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 2.0::DOUBLE ELSE 0.5::DOUBLE END) AS weight FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 d AS (SELECT documents.doc_id, source, {SQL_WORDS}::BIGINT AS size,

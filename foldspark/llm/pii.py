@@ -100,6 +100,10 @@ def find(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", every("text").alias("found"))
 
 
+def is_kind(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def digest(found: DataFrame, base=KINDS[:4]) -> DataFrame:
     """Counts of the base kinds, their sha256 and all spans as one string."""
 
@@ -107,7 +111,7 @@ def digest(found: DataFrame, base=KINDS[:4]) -> DataFrame:
         return F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
     only = F.filter("found", lambda s: s["kind"].isin(base))
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    counts = [F.size(F.filter("found", is_kind(k))).cast("long").alias(f"n_{k}") for k in base]
     return found.select("doc_id", *counts, F.sha2(joined(only), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
