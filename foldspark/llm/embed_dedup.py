@@ -229,7 +229,7 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096
             for a, b in np.unique(np.stack([pairs[:, 0], names[pairs[:, 1]]], 1), axis=0):
                 near[a].add(b)
             out = {"rep": ids, "links": links, "labels": [sorted(s) for s in near]}
-        return pd.DataFrame(out)
+        return pd.DataFrame({"rep": out["rep"], "links": out["links"], "labels": pd.Series(out["labels"], dtype="object")})
 
     asked = reps.select("rep", "e", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -86,7 +86,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, similar: float = 0.8) -> DataFram
                     name, gain, differ = known[block]
                     row.append({"start": a, "end": b, "license": name, "saved": gain, "differing": differ})
             out.append(row)
-        return pd.Series(out)
+        return pd.Series(out, dtype="object")
 
     return docs.select("doc_id", every("text").alias("found"))
 

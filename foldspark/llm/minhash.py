@@ -92,7 +92,7 @@ def bands(sets: DataFrame, t: int, rows: int) -> DataFrame:
             v = sketch(np.asarray(a, dtype=np.int64).view(np.uint64), t)
             return [xxhash.xxh64_intdigest(v[j : j + rows].tobytes(), j) - 2**63 for j in range(0, t - rows + 1, rows)]
 
-        return pd.Series([one(a) for a in s])
+        return pd.Series([one(a) for a in s], dtype="object")
 
     return sets.select("rep", F.explode(keys("s")).alias("bucket"))
 

@@ -95,7 +95,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     @F.pandas_udf(kind)
     def every(text: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("kind", "start", "end", "score"), s)) for s in spans(t)] for t in text])
+        return pd.Series([[dict(zip(("kind", "start", "end", "score"), s)) for s in spans(t)] for t in text], dtype="object")
 
     return docs.select("doc_id", every("text").alias("found"))
 

@@ -1,0 +1,153 @@
+"""The text operators against brute force, held-out labels and edge cases."""
+
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+from foldspark.llm import decontaminate, embed_dedup, langid, license_scan, lm, minhash, mix, pii, tokencount, url_filter
+
+SF = "/root/testdata/sf0.01"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size int, s string"
+
+
+def docs_of(spark, texts, langs=None):
+    return spark.createDataFrame([(i, t, (langs or ["en"] * len(texts))[i], f"src{i % 2}", len(t or ""), 1, "x") for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def edge(spark):
+    return docs_of(spark, [None, "", " \n", "one", "word " * 30000, "same text here now ok", "same text here now ok", "1" * 50000, "@" * 1000])
+
+
+def union(n, links):
+    c = list(range(n))
+    for _ in range(n):
+        for a, b in links:
+            c[a] = c[b] = min(c[a], c[b])
+    return c
+
+
+def test_near_dedup_is_brute_force(spark):
+    r = random.Random(4)
+    texts = []
+    for _ in range(12):
+        base = [f"w{r.randrange(500)}" for _ in range(r.randrange(3, 120))]
+        for _ in range(r.choice([1, 4, 25])):
+            w = list(base)
+            for _ in range(r.randrange(3)):
+                w[r.randrange(len(w))] = f"z{r.randrange(9)}"
+            texts.append(" ".join(w))
+    texts += [None, "", texts[0].upper()]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) else set() for t in texts]
+    links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i]["component_id"] for i in range(len(texts))] == union(len(texts), links)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+
+
+def test_embeddings_are_brute_force(spark):
+    r = np.random.default_rng(1)
+    rows = [list(map(float, c + r.normal(0, 0.12, 16))) for c in r.normal(0, 1, (40, 16)) for _ in range(r.integers(1, 30))]
+    rows += [rows[0], rows[0], None, [0.0] * 16, [float("nan")] * 16, [1.0] * 3]
+    got = {x["vec_id"]: x for x in embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), shard_rows=150, block_rows=200).collect()}
+    ok = [i for i, v in enumerate(rows) if v and len(v) == 16 and np.isfinite(v).all() and any(v)]
+    x = embed_dedup.unit([rows[i] for i in ok])
+    pairs = [(ok[a], ok[b]) for a, b in np.argwhere(x @ x.T >= 0.9) if a != b]
+    want = np.zeros(len(rows), int)
+    for a, _ in pairs:
+        want[a] += 1
+    assert sum(got[i]["n_links"] for i in range(len(rows))) >= 0.99 * want.sum()
+    assert all(got[i]["n_links"] <= want[i] for i in range(len(rows)))
+    same = np.mean([got[i]["component_id"] == c for i, c in enumerate(union(len(rows), pairs))])
+    assert same >= 0.99
+
+
+def test_language_held_out(spark):
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    from foldspark.llm.common import fold
+
+    rows = langid.predict(d).where((fold(d.doc_id, 5) == 0) & d.lang.isNotNull()).collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in rows if r["lang_pred"] != "und"]) > 0.9
+
+
+def test_gradient():
+    x = np.random.default_rng(0).integers(0, 256, (64, 16)).astype(np.uint8)
+    y = np.arange(64) % 2
+    x[y == 0] //= 2
+    p = langid.train(x, y, 2, steps=80)
+    assert np.mean(langid.probabilities(p, x.T).mean(0).argmax(1) == y) > 0.9
+
+
+def test_token_counts():
+    pieces = [b"a", b"b", b"c", b" ", b"ab", b"abc", b"bca", b" a", b"cab", b" abca"]
+    auto = tokencount.Automaton(pieces)
+    r = random.Random(2)
+    for _ in range(500):
+        data = b" " + bytes(r.choices(b"abc", k=r.randrange(12)))
+        i = n = 0
+        while i < len(data):
+            i += max(len(p) for p in pieces if data.startswith(p, i))
+            n += 1
+        assert auto.count(data) == n
+    assert tokencount.Automaton([b"a"]).count(b"ab") == 1
+
+
+def test_pii_base():
+    text = "x@y z.q@w.com 1.2.3.4.5.6.7.8 300.1.1.1, 4111 1111 1111 1111 +49 (0) 30-123456. a@b.c@d.e IBAN DE89 3704 0044 0532 0130 00"
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"}
+    got = pii.spans(text)
+    assert [s[1:3] for s in got if s[0] == "email"] == [m.span() for m in re.finditer(plain["email"], text)]
+    assert [s[1:3] for s in got if s[0] == "ip"] == [m.span() for m in re.finditer(plain["ip"], text) if all(int(p) < 256 for p in m[0].split("."))]
+    assert {s[0] for s in got} == {"email", "ip", "card", "phone", "iban"}
+    assert "<card>" in pii.mask_text(text)
+
+
+def test_lm_base_and_sum(spark):
+    texts = [None, "", "a b a", "a c the end", "B a", "q q q"] * 3
+    rows = {r["doc_id"]: r for r in lm.score(docs_of(spark, texts), classes=2).collect()}
+    import zlib
+    from collections import Counter
+
+    c = Counter()
+    for i, t in enumerate(texts):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            c.update((t or "").lower().split())
+            c["\0end"] += 1
+    n, v = sum(c.values()), len(c)
+    for i, t in enumerate(texts):
+        w = [*(t or "").lower().split(), "\0end"]
+        assert rows[i]["base_score"] == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w))
+        assert rows[i]["n_known"] == sum(c[x] > 0 for x in w) and rows[i]["n_tokens"] == len(w) and rows[i]["score"] < 0
+
+
+def test_url_rules(spark):
+    urls = ["http://a.example.com/en/1", "HTTP://WWW.Example.com/en/1?q", "x://a.net/fr/2", "no", None, "http://x.com", "http://x.com/"]
+    got = [(r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
+    assert got[0][1:] == ("example.com/en/", "block") and got[1] == ("www.example.com", "www.example.com/en/", "allow")
+    assert got[2][1] == "net/fr/" and got[3][:2] == ("", None) and got[5][1] is None and got[6][1:] == ("com/", "allow")
+
+
+def test_license():
+    s = license_scan.Scanner(license_scan.TEMPLATES, 0.8)
+    for name, text in license_scan.TEMPLATES.items():
+        assert s.scan(text)[::2] == (name, 0)
+    assert s.scan("my driver licence was renewed") is None
+
+
+def test_edges(spark, edge):
+    empty = edge.where("false")
+    bench = spark.createDataFrame([(1, "one"), (2, None), (3, "word word word word word word word word word word")], "item_id long, text string")
+    for d, n in ((edge, edge.count()), (empty, 0)):
+        assert pii.digest(pii.find(d)).count() == n
+        assert mix.mix(d).count() == n
+        assert minhash.near_duplicates(d).count() == n
+        assert langid.predict(d).count() == n
+        assert tokencount.count(d).count() == n
+        assert license_scan.digest(license_scan.scan(d)).count() == n
+        assert lm.score(d).count() == n
+        assert decontaminate.report(d, bench).count() == n
+    assert {r["doc_id"] for r in decontaminate.report(edge, bench).where("contaminated").collect()} == {3, 4}
+    assert decontaminate.report(edge, bench.where("false")).where("contaminated").count() == 0
