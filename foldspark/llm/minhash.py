@@ -16,6 +16,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foldspark.llm.common import components, cut
@@ -121,7 +122,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, t: int = 128
     base = cut(shingles(docs, k).select("doc_id", "s", "g", F.size("s").cast("long").alias("n_shingles")))
     full = base.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("rep"), F.any_value("s").alias("s"))
     sets = cut(full)
-    buckets = bands(sets, t, rows)
+    buckets = cut(bands(sets, t, rows))
     sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
     member = cut(buckets.join(sized, "bucket"))
     few = member.where(F.col("n") <= pairs_up_to)
@@ -130,17 +131,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, t: int = 128
     links = cut(confirm(small.unionByName(large).distinct(), sets, percent))
     many = member.where(F.col("n") > pairs_up_to).select("bucket", "rep", "low")
     done = cut(many.select("bucket", F.col("low").alias("rep")).distinct())
+    width = 1
     while True:
         comp = cut(components(links))
         at = many.join(comp.withColumnRenamed("id", "rep"), "rep", "left").withColumn("c", F.coalesce("component_id", "rep"))
         per = at.groupBy("bucket", "c").agg(F.count("*").alias("m"))
         main = per.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         out = at.join(main, "bucket").where("c <> main").join(done, ["bucket", "rep"], "left_anti")
-        centre = cut(out.groupBy("bucket").agg(F.min("rep").alias("centre")))
+        # Four times as many centres each round: the number of rounds is logarithmic in a bucket's size.
+        place = F.row_number().over(W.partitionBy("bucket").orderBy("rep"))
+        centre = cut(out.select("bucket", F.col("rep").alias("centre"), place.alias("place")).where(F.col("place") <= width).drop("place"))
+        width *= 4
         if centre.isEmpty():
             break
         here = at.join(centre, "bucket").where("rep <> centre").join(comp.select(F.col("id").alias("centre"), F.col("component_id").alias("cc")), "centre", "left")
-        pairs = here.where("c <> coalesce(cc, centre)").selectExpr("centre as a", "rep as b").distinct()
+        pairs = here.where("c <> coalesce(cc, centre)").selectExpr("least(centre, rep) as a", "greatest(centre, rep) as b").distinct()
         links = cut(links.unionByName(confirm(pairs, sets, percent)))
         done = cut(done.unionByName(centre.selectExpr("bucket", "centre as rep")))
     reps = sets.select("g", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", F.coalesce("component_id", "rep").alias("component_id"))
