@@ -37,7 +37,7 @@ def mixing(spark, docs, sf_dir):
 
 
 STAGES = [("language ID", language), ("near-dedup", near_dedup), ("decontamination", decontamination), ("personal data", personal_data), ("mixing", mixing)]
-#: Language ID has no SQL form; tests hold the pipeline against brute force.
+#: Language ID has no SQL form, so the pipeline has none.
 ORACLE_SQL = None
 
 
