@@ -14,7 +14,7 @@ def ascii_lower(text: Column) -> Column:
 
 def words(text: Column, separators: str = r"[\x20\x09-\x0D]+") -> Column:
     """Runs of characters outside ``separators``; null gives an empty array."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), separators), "")
 
 
 def fold(doc_id: Column, k: int) -> Column:

@@ -2,20 +2,25 @@
 
 Items are cut into windows of ``n`` words (shorter items are one window). Each window keeps its
 ``depth`` rarest terms by training-token count; only those terms' postings (document, position)
-are built. Their lists, adjusted by the term's offset in the window, are intersected, and what is
-left is compared word for word with the text, so that results are exact. Null and empty texts
-have no words and no hits; repeated items count under each of their ids; repeated document ids
-are told apart by their text.
+are stored, and postings of a window's rarest term keep the words around them. Candidates come
+from the rarest list; each is then looked up in the window's other lists at the position that its
+offset demands. What is left is compared word for word with the stored words, so that results are
+exact and no text is shuffled. Lists go by ``lower``, which folds more than A-Z but keeps every
+word's place; the comparison folds A-Z only.
+
+Null and empty texts have no words and no hits; repeated items count under each of their ids;
+repeated document ids are told apart by their text, and null ids are kept.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from foldspark.llm.common import ascii_lower, cut, words
 
 #: Fixed value: what separates words.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A-Z are lower-cased: they belong to words.
+RAW_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows up to which a table made from the benchmark is broadcast; beyond it, joins shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -34,43 +39,75 @@ def windows(items: DataFrame, n: int = 10) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
     w = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("words"))
     w = w.groupBy("words").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    return w.select(F.sha2(F.concat_ws(" ", "words"), 256).alias("window_id"), "words", "items")
+    return w.select(F.monotonically_increasing_id().alias("window_id"), "words", "items")
 
 
-def occurrences(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 3):
-    """Candidates per (doc_id, text hash) as an array ``cand`` of (start, window_id), the windows, and their number."""
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, its words as written, and ``h``, which tells rows of equal id apart by text."""
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("h"), words(F.col("text"), RAW_SEPARATORS).alias("w"))
+
+
+def rarest(win: DataFrame, docs: DataFrame, depth: int, vocab_rows: int) -> DataFrame:
+    """window_id and ``lists``: its ``depth`` rarest terms as (tf, term, offset), rarest first.
+
+    Windows holding a term that no document has cannot occur and are left out.
+    """
+    terms = win.select("window_id", F.posexplode("words").alias("offset", "term")).withColumn("term", F.lower("term"))
+    vocabulary = small(terms.select("term").distinct(), vocab_rows)
+    corpus = keyed(docs).select(F.explode("w").alias("term")).select(F.lower("term").alias("term"))
+    freq = corpus.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("tf"))
+    first = terms.groupBy("window_id", "term").agg(F.min("offset").alias("offset")).join(small(freq, vocab_rows), "term", "left")
+    lists = first.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("tf", "term", "offset"))).alias("lists"))
+    return lists.where(F.col("lists")[0]["tf"].isNotNull()).select("window_id", F.slice("lists", 1, depth).alias("lists"))
+
+
+def occurrences(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 2, slack: int = 0):
+    """Where each window's rare terms meet: doc_id, h, start (0-based), window_id and the words ``here``.
+
+    With ``slack`` the other terms may stand up to so many places off: a proximity match.
+    """
     win = cut(windows(items, n))
     count = win.count()
-    terms = win.select("window_id", F.posexplode("words").alias("offset", "term"))
-    vocabulary = terms.select("term").distinct()
-    postings = docs.select("doc_id", F.xxhash64("text").alias("h"), F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    vocab_rows = count * n
-    freq = postings.select("term").join(small(vocabulary, vocab_rows), "term", "left_semi").groupBy("term").agg(F.count("*").alias("tf"))
-    # A window holding a term that no document has cannot occur.
-    held = terms.join(freq, "term", "left").withColumn("missing", F.max(F.col("tf").isNull()).over(W.partitionBy("window_id"))).where("not missing")
-    first = held.groupBy("window_id", "term").agg(F.min("offset").alias("offset"), F.min("tf").alias("tf"))
-    rank = F.row_number().over(W.partitionBy("window_id").orderBy("tf", "term"))
-    lists = first.withColumn("k", rank).where(F.col("k") <= depth)
-    lists = lists.withColumn("need", F.count("*").over(W.partitionBy("window_id")))
-    lists = cut(lists.select("window_id", "term", "offset", "need"))
-    rows = count * depth
-    # The index: postings of the rare terms only.
-    index = cut(postings.join(small(lists.select("term").distinct(), rows), "term", "left_semi"))
-    at = index.join(small(lists, rows), "term").select("doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"), "window_id", "need").where("start >= 0")
-    # A start is left where every list of the window has it.
-    met = at.groupBy("doc_id", "h", "start", "window_id").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need")
-    per = met.groupBy("doc_id", "h").agg(F.collect_set(F.struct("start", "window_id")).alias("cand"))
-    return per, win, count
-
-
-def found(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 3) -> DataFrame:
-    """Per document with exact occurrences: doc_id, h, start (0-based), length, items."""
-    per, win, count = occurrences(docs, items, n, depth)
-    text = docs.select("doc_id", F.xxhash64("text").alias("h"), tokens(F.col("text")).alias("w"))
-    text = text.dropDuplicates(["doc_id", "h"])
-    cand = text.join(per, ["doc_id", "h"]).select("doc_id", "h", F.inline(F.transform("cand", lambda c: F.struct(c["start"].alias("start"), c["window_id"].alias("window_id"), F.slice("w", c["start"] + 1, n).alias("here")))))
-    cand = cand.join(small(win.withColumnRenamed("words", "want"), count), "window_id")
-    return cand.where(F.slice("here", 1, F.size("want")) == F.col("want")).select("doc_id", "h", "start", F.size("want").alias("length"), "items")
+    lists = cut(rarest(win, docs, depth, count * n))
+    terms = lists.select(F.posexplode("lists").alias("k", "x")).groupBy(F.col("x.term").alias("listed")).agg((F.min("k") == 0).alias("anchor"))
+    every = keyed(docs).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
+    held = every.join(small(terms, count * depth), F.lower("word") == F.col("listed"))
+    low = F.greatest(F.col("pos") - (n - 1), F.lit(0))
+    around = F.when(F.col("anchor"), F.slice("w", low + 1, F.col("pos") - low + n))
+    index = cut(held.select("doc_id", "h", F.col("listed").alias("term"), "pos", around.alias("around")))
+    plan = lists.select("window_id", "lists", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["offset"].alias("offset"))
+    at = index.where("around is not null").join(small(plan, count), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
+    here = F.slice("around", F.least(F.col("pos"), F.lit(n - 1)) - F.col("offset") + 1, n)
+    at = at.select("doc_id", "h", "start", "window_id", "lists", here.alias("here"))
+    wide = slack + 1
+    for k in range(1, depth):
+        # A window of fewer distinct terms meets its rarest list again.
+        step = F.coalesce(F.get("lists", F.lit(k)), F.col("lists")[0])
+        at = at.withColumn("term", step["term"]).withColumn("want", F.col("start") + step["offset"])
+        if slack:
+            bins = F.array(*[F.floor(F.col("want") / wide) + j for j in (-1, 0, 1)])
+            side = index.select("h", "term", F.floor(F.col("pos") / wide).alias("bin"), "pos").distinct()
+            met = at.select("h", "start", "window_id", "term", "want", F.explode(bins).alias("bin")).join(side, ["h", "term", "bin"])
+            met = met.where(F.abs(F.col("pos") - F.col("want")) <= slack).select("h", "start", "window_id").distinct()
+            at = at.join(met, ["h", "start", "window_id"], "left_semi")
+        else:
+            at = at.join(index.select("h", "term", F.col("pos").alias("want")), ["h", "term", "want"], "left_semi")
+    return at.select("doc_id", "h", "start", "window_id", "here"), win, count
+
+
+def found(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 2) -> DataFrame:
+    """Per exact occurrence of a window: doc_id, h, start (0-based), length, items."""
+    at, win, count = occurrences(docs, items, n, depth)
+    cand = at.join(small(win.withColumnRenamed("words", "want"), count), "window_id")
+    same = ascii_lower(F.concat_ws(" ", F.slice("here", F.lit(1), F.size("want")))) == F.concat_ws(" ", "want")
+    return cand.where(same).select("doc_id", "h", "start", F.size("want").alias("length"), "items")
+
+
+def proximity(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 3, slack: int = 3) -> DataFrame:
+    """Per proximity match doc_id, start (where the window would begin) and items: the window's
+    ``depth`` rarest terms stand at most ``slack`` places from where the window has them."""
+    at, win, count = occurrences(docs, items, n, depth, slack)
+    return at.join(small(win, count), "window_id").select("doc_id", "start", "items").distinct()
 
 
 def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
@@ -79,7 +116,7 @@ def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
         F.size(F.array_distinct(F.flatten(F.collect_set(F.sequence("start", F.col("start") + F.col("length") - 1))))).alias("n_hit"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
     )
-    base = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(tokens(F.col("text"))).cast("long").alias("n_words"))
+    base = keyed(docs).select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
     out = base.join(hit.withColumnsRenamed({"doc_id": "_d", "h": "_h"}), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     ids = F.coalesce("ids", F.array().cast("array<string>"))
