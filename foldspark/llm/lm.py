@@ -22,7 +22,6 @@ from foldspark.llm.common import ascii_lower, cut, fold, words
 
 HOT = 20_000
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = {c: c + 32 for c in range(65, 91)}
 END = 0  # class of the end token; also the context before a text
 
 
@@ -75,7 +74,8 @@ def log_probabilities(p, ids: np.ndarray, block: int = 2048) -> np.ndarray:
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall((text or "").translate(TO_LOWER))
+    # Lower-casing bytes changes A-Z only.
+    return TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
 def score(docs: DataFrame, classes: int = 400, sample: int = 2000, width: int = 1500) -> DataFrame:

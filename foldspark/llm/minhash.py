@@ -10,8 +10,6 @@ member by member with a centre, and further centres follow until each member out
 component has itself been a centre, so no candidate link between components goes unseen.
 """
 
-import re
-
 import numpy as np
 import pandas as pd
 import xxhash
@@ -54,17 +52,16 @@ def sketch(a: np.ndarray, t: int) -> np.ndarray:
     return out
 
 
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
-TO_LOWER = {c: c + 32 for c in range(65, 91)}
-
-
 def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of a whole text."""
-    w = TOKEN.findall((text or "").translate(TO_LOWER))
+    """Sorted distinct 64-bit hashes of the k-word shingles of a whole text.
+
+    Lower-casing bytes changes A-Z only, and splitting them separates at 0x20 and 0x09 to 0x0D only.
+    """
+    w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return np.zeros(0, np.uint64)
     known: dict[str, int] = {}
-    h = np.fromiter((known[x] if x in known else known.setdefault(x, xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"))) for x in w), np.uint64, len(w))
+    h = np.fromiter((known[x] if x in known else known.setdefault(x, xxhash.xxh64_intdigest(x)) for x in w), np.uint64, len(w))
     k = min(k, len(w))
     with np.errstate(over="ignore"):
         out = np.full(len(w) - k + 1, np.uint64(k))
@@ -73,29 +70,28 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def shingles(docs: DataFrame, k: int = 5) -> DataFrame:
-    """doc_id, the shingle set ``s`` and ``g``, a 128-bit digest of the set (null for an empty one)."""
+def shingles(docs: DataFrame, k: int = 5, t: int = 128, rows: int = 5) -> DataFrame:
+    """doc_id, the shingle set ``s``, ``g``, a 128-bit digest of the set (null for an empty one),
+    and ``keys``, one 64-bit key for each band of its sketch."""
+
+    def bands(a):
+        v = sketch(a, t)
+        return [xxhash.xxh64_intdigest(v[j : j + rows].tobytes(), j) - 2**63 for j in range(0, t - rows + 1, rows)]
 
-    @F.pandas_udf("struct<s:array<bigint>,g:string>")
+    @F.pandas_udf("struct<s:array<bigint>,g:string,keys:array<bigint>>")
     def one(text: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, k) for t in text]
-        return pd.DataFrame({"s": [a.view(np.int64) for a in sets], "g": [xxhash.xxh128_hexdigest(a.tobytes()) if len(a) else None for a in sets]})
+        return pd.DataFrame({
+            "s": pd.Series([a.view(np.int64) for a in sets], dtype="object"),
+            "g": pd.Series([xxhash.xxh128_hexdigest(a.tobytes()) if len(a) else None for a in sets], dtype="object"),
+            "keys": pd.Series([bands(a) if len(a) else [] for a in sets], dtype="object"),
+        })
 
-    return docs.select("doc_id", one("text").alias("x")).select("doc_id", "x.s", "x.g")
+    return docs.select("doc_id", one("text").alias("x")).select("doc_id", "x.s", "x.g", "x.keys")
 
 
-def bands(sets: DataFrame, t: int, rows: int) -> DataFrame:
-    """rep and one 64-bit key for each band of its sketch."""
-
-    @F.pandas_udf("array<bigint>")
-    def keys(s: pd.Series) -> pd.Series:
-        def one(a):
-            v = sketch(np.asarray(a, dtype=np.int64).view(np.uint64), t)
-            return [xxhash.xxh64_intdigest(v[j : j + rows].tobytes(), j) - 2**63 for j in range(0, t - rows + 1, rows)]
-
-        return pd.Series([one(a) for a in s], dtype="object")
-
-    return sets.select("rep", F.explode(keys("s")).alias("bucket"))
+#: Rows up to which the (row, rep) pairs of candidates are broadcast; beyond it, the join shuffles.
+BROADCAST_ROWS = 500_000
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 32) -> DataFrame:
@@ -119,17 +115,27 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int, salts: int = 32) ->
 
 def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, t: int = 128, rows: int = 5, pairs_up_to: int = 16) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
-    base = cut(shingles(docs, k).select("doc_id", "s", "g", F.size("s").cast("long").alias("n_shingles")))
-    full = base.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("rep"), F.any_value("s").alias("s"))
-    sets = cut(full)
-    buckets = cut(bands(sets, t, rows))
-    sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low")).where("n > 1")
+    base = shingles(docs, k, t, rows).withColumn("n_shingles", F.size("s").cast("long"))
+    base = cut(base.withColumn("row", F.monotonically_increasing_id()))
+    reps = cut(base.where("g is not null").groupBy("g").agg(F.min("doc_id").alias("rep"), F.min_by("row", "doc_id").alias("row")).where("rep is not null"))
+    buckets = cut(base.select("row", "keys", F.col("n_shingles").alias("size")).join(reps.select("row", "rep"), "row").select("rep", "size", F.explode("keys").alias("bucket")))
+    sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.min_by("size", "rep").alias("low_size")).where("n > 1")
     member = cut(buckets.join(sized, "bucket"))
+    # Only representatives that share a bucket need their sets from here on.
+    wanted = cut(reps.join(member.select("rep").distinct(), "rep", "left_semi").select("row", "rep"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    sets = cut(base.select("row", "s").join(wanted, "row").select("rep", "s"))
+
+    def alike(x, y):
+        """Sizes that allow the similarity; others need no comparison."""
+        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+
     few = member.where(F.col("n") <= pairs_up_to)
-    small = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.rep < y.rep")).selectExpr("x.rep as a", "y.rep as b")
-    large = member.where(F.col("n") > pairs_up_to).where("rep <> low").selectExpr("low as a", "rep as b")
+    small = few.alias("x").join(few.alias("y"), F.expr("x.bucket = y.bucket and x.rep < y.rep and " + alike("x.size", "y.size"))).selectExpr("x.rep as a", "y.rep as b")
+    large = member.where(F.col("n") > pairs_up_to).where("rep <> low").where(alike("size", "low_size")).selectExpr("low as a", "rep as b")
     links = cut(confirm(small.unionByName(large).distinct(), sets, percent))
-    many = member.where(F.col("n") > pairs_up_to).select("bucket", "rep", "low")
+    many = member.where(F.col("n") > pairs_up_to).select("bucket", "rep", "size", "low")
     done = cut(many.select("bucket", F.col("low").alias("rep")).distinct())
     width = 1
     while True:
@@ -140,15 +146,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, t: int = 128
         out = at.join(main, "bucket").where("c <> main").join(done, ["bucket", "rep"], "left_anti")
         # Four times as many centres each round: the number of rounds is logarithmic in a bucket's size.
         place = F.row_number().over(W.partitionBy("bucket").orderBy("rep"))
-        centre = cut(out.select("bucket", F.col("rep").alias("centre"), place.alias("place")).where(F.col("place") <= width).drop("place"))
+        centre = cut(out.select("bucket", F.col("rep").alias("centre"), F.col("c").alias("cc"), F.col("size").alias("cs"), place.alias("place")).where(F.col("place") <= width).drop("place"))
         width *= 4
         if centre.isEmpty():
             break
-        here = at.join(centre, "bucket").where("rep <> centre").join(comp.select(F.col("id").alias("centre"), F.col("component_id").alias("cc")), "centre", "left")
-        pairs = here.where("c <> coalesce(cc, centre)").selectExpr("least(centre, rep) as a", "greatest(centre, rep) as b").distinct()
+        # The join itself leaves out pairs that are linked already or differ too much in size.
+        here = at.alias("m").join(centre.alias("o"), F.expr("m.bucket = o.bucket and m.rep <> o.centre and m.c <> o.cc and " + alike("m.size", "o.cs")))
+        pairs = here.selectExpr("least(centre, rep) as a", "greatest(centre, rep) as b").distinct()
         links = cut(links.unionByName(confirm(pairs, sets, percent)))
         done = cut(done.unionByName(centre.selectExpr("bucket", "centre as rep")))
-    reps = sets.select("g", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", F.coalesce("component_id", "rep").alias("component_id"))
+    reps = reps.select("g", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("g", F.coalesce("component_id", "rep").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "g").join(reps, "g", "left")
     cid = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), (F.col("doc_id") == cid).alias("kept"))
