@@ -1,7 +1,10 @@
 """Column expressions and table helpers shared by the operators of this package."""
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,16 +36,41 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Links that one task joins in memory (two longs each) before links of different tasks meet.
+EDGES_PER_TASK = 500_000
+
+
+def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's links as stars: each node with the least node that its links reach."""
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    stars = np.array([(x, r) for x in list(parent) if (r := root(x)) != x], np.int64).reshape(-1, 2)
+    yield pd.DataFrame({"a": stars[:, 0], "b": stars[:, 1]})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` as ``(id, component_id)``, the least id of each.
 
-    Alternates large-star and small-star, which halve path lengths and keep the number of edges
-    bounded; converges in a logarithmic number of rounds. Grouping only takes a minimum, so a hub
-    is combined on the map side. Nodes without edges get no row.
+    Tasks of about EDGES_PER_TASK links first reduce them to stars. Where that took several tasks,
+    large-star and small-star alternate, which halve path lengths and keep the number of edges
+    bounded; they converge in a logarithmic number of rounds. Grouping only takes a minimum, so a
+    hub is combined on the map side. Nodes without edges get no row.
     """
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, last = cut(e), None
-    while True:
+    e = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    tasks = max(1, -(-e.count() // EDGES_PER_TASK))
+    e, last = cut(e.coalesce(tasks).mapInPandas(forest, "a long, b long")), None
+    while tasks > 1:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         big = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
