@@ -144,10 +144,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, k: int = 5, t: int = 128
         per = at.groupBy("bucket", "c").agg(F.count("*").alias("m"))
         main = per.groupBy("bucket").agg(F.max_by("c", F.struct("m", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         out = at.join(main, "bucket").where("c <> main").join(done, ["bucket", "rep"], "left_anti")
-        # Eight times as many centres each round: the number of rounds is logarithmic in a bucket's size.
+        # Four times as many centres each round: the number of rounds is logarithmic in a bucket's size.
         place = F.row_number().over(W.partitionBy("bucket").orderBy("rep"))
         centre = cut(out.select("bucket", F.col("rep").alias("centre"), F.col("c").alias("cc"), F.col("size").alias("cs"), place.alias("place")).where(F.col("place") <= width).drop("place"))
-        width *= 8
+        width *= 4
         if centre.isEmpty():
             break
         # The join itself leaves out pairs that are linked already or differ too much in size.
