@@ -4,17 +4,21 @@ Counts cover all training documents (crc32(doc_id) mod 7 is not 2) and grow with
 network predicts one of the ``classes`` most frequent tokens (the end among them) or "rare" from
 the two tokens before, normalised over all of them; a rare token then has its share of the
 add-one smoothed counts of all rare training tokens, so that token probabilities sum to one.
-Null texts are empty and hold only the end. The network is fitted on at most ``sample`` windows.
+Null texts are empty and hold only the end. The network is fitted in one pass over the whole texts
+of all training documents, by as many trainers as the cluster has cores.
 
 Words with at least N / HOT tokens number at most HOT; they are broadcast. All others are counted
 per document and meet their corpus counts in a shuffle join by word.
 """
 
+import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,34 +33,86 @@ def corpus_counts(train: DataFrame) -> DataFrame:
     return train.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
 
-def fit(contexts: np.ndarray, targets: np.ndarray, freq: np.ndarray, dim: int = 16, epochs: int = 4, noise: int = 10, batch: int = 256, rate: float = 0.1):
-    """Embeddings, context matrices and biases by noise-contrastive estimation with Adagrad."""
-    k = len(freq)
-    r = np.random.default_rng(5)
-    q = (freq + 1.0) / (freq + 1.0).sum()
-    p = {"R": r.normal(0, 0.1, (k, dim)), "E": r.normal(0, 0.1, (k, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log(q)}
+def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by their row numbers."""
+    k = values.shape[1]
+    return np.bincount((rows[:, None] * k + np.arange(k)).ravel(), values.ravel(), n * k).reshape(n, k)
+
+
+def start(freq: np.ndarray, dim: int = 16) -> dict[str, np.ndarray]:
+    """The parameters that every trainer starts from: embeddings, context matrices and biases."""
+    k, r = len(freq), np.random.default_rng(5)
+    return {"R": r.normal(0, 0.1, (k, dim)), "E": r.normal(0, 0.1, (k, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log((freq + 1.0) / (freq + 1.0).sum())}
+
+
+def step(p, s, r, q, contexts: np.ndarray, targets: np.ndarray, noise: int = 10, shared: int = 64, rate: float = 0.1) -> None:
+    """One step of noise-contrastive estimation with Adagrad, in place.
+
+    A block shares ``shared`` noise classes, which stand for ``noise`` of each token.
+    """
+    n = len(targets)
+    x = [p["R"][contexts[:, c]] for c in (0, 1)]
+    h = x[0] @ p["C"][0] + x[1] @ p["C"][1]
+    lq, w = np.log(noise * q), np.searchsorted(np.cumsum(q)[:-1], r.random(shared))
+    own = 1 / (1 + np.exp(-np.clip((h * p["E"][targets]).sum(1) + p["b"][targets] - lq[targets], -30, 30))) - 1
+    other = noise / shared / (1 + np.exp(-np.clip(h @ p["E"][w].T + p["b"][w] - lq[w], -30, 30)))
+    own, other = own / n**0.5, other / n**0.5
+    dh = own[:, None] * p["E"][targets] + other @ p["E"][w]
+    rows = np.concatenate([targets, w])
+    g = {
+        "E": scatter(rows, np.concatenate([own[:, None] * h, other.T @ h]), len(q)),
+        "b": np.bincount(rows, np.concatenate([own, other.sum(0)]), len(q)),
+        "C": np.stack([x[0].T @ dh, x[1].T @ dh]),
+        "R": scatter(contexts.T.ravel(), np.concatenate([dh @ p["C"][0].T, dh @ p["C"][1].T]), len(q)),
+    }
+    for name in p:
+        s[name] += g[name] ** 2
+        p[name] -= rate * g[name] / np.sqrt(s[name])
+
+
+def train_on(texts: Iterator[np.ndarray], freq: np.ndarray, block: int = 1024) -> tuple[dict[str, np.ndarray], int]:
+    """The parameters after one pass over whole texts of classes (ends included), and their tokens."""
+    p, r, q = start(freq), np.random.default_rng(6), (freq + 1.0) / (freq + 1.0).sum()
     s = {n: np.full_like(a, 1e-2) for n, a in p.items()}
-    lq = np.log(noise * q)
-    for _ in range(epochs):
-        order = r.permutation(len(targets))
-        for i in range(0, len(order), batch):
-            j = order[i : i + batch]
-            w = np.concatenate([targets[j, None], r.choice(k, (len(j), noise), p=q)], 1)
-            ctx = p["R"][contexts[j]]
-            h = np.einsum("ncd,cde->ne", ctx, p["C"])
-            d = 1 / (1 + np.exp(-np.clip(np.einsum("nd,nwd->nw", h, p["E"][w]) + p["b"][w] - lq[w], -30, 30)))
-            d[:, 0] -= 1
-            d /= len(j) ** 0.5
-            dh = np.einsum("nw,nwd->nd", d, p["E"][w])
-            g = {n: np.zeros_like(a) for n, a in p.items()}
-            np.add.at(g["E"], w, d[:, :, None] * h[:, None])
-            np.add.at(g["b"], w, d)
-            g["C"] = np.einsum("ncd,ne->cde", ctx, dh)
-            np.add.at(g["R"], contexts[j], np.einsum("ne,cde->ncd", dh, p["C"]))
-            for n in p:
-                s[n] += g[n] ** 2
-                p[n] -= rate * g[n] / np.sqrt(s[n])
-    return p
+    held, size, total = [], 0, 0
+
+    def flush(last: bool) -> list:
+        c, t = (np.concatenate(a) for a in zip(*held))
+        full = len(t) if last else len(t) // block * block
+        for i in range(0, full, block):
+            step(p, s, r, q, c[i : min(i + block, full)], t[i : min(i + block, full)])
+        return [(c[full:], t[full:])]
+
+    for x in texts:
+        pad = np.concatenate([[END, END], x])
+        held.append((np.stack([pad[:-2], pad[1:-1]], 1), x))
+        size, total = size + len(x), total + len(x)
+        if size >= 64 * block:
+            held = flush(False)
+            size = len(held[0][1])
+    if size:
+        flush(True)
+    return p, total
+
+
+def fit(texts: DataFrame, ids: dict[str, int], rare: int, freq: np.ndarray) -> dict[str, np.ndarray]:
+    """Parameters from one pass over all ``texts``: every core trains on its share of them from the
+    same start, and the results are averaged by their numbers of tokens."""
+    sc = texts.sparkSession.sparkContext
+    share = sc.broadcast((ids, freq))
+
+    def one(batches):
+        ids, freq = share.value
+        every = (t for b in batches for t in b.column(0).to_pylist())
+        p, total = train_on((np.array([ids.get(w, rare) for w in tokens(t)] + [END]) for t in every), freq)
+        yield pa.RecordBatch.from_pydict({"total": [total], "p": [pickle.dumps(p)]})
+
+    out, n = {k: np.zeros_like(a) for k, a in start(freq).items()}, 0
+    for r in texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(one, "total long, p binary").where("total > 0").collect():
+        n += r["total"]
+        for k, a in pickle.loads(r["p"]).items():
+            out[k] += r["total"] * a
+    return {k: a / n for k, a in out.items()} if n else start(freq)
 
 
 def log_probabilities(p, ids: np.ndarray, block: int = 2048) -> np.ndarray:
@@ -78,7 +134,7 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
-def score(docs: DataFrame, classes: int = 400, sample: int = 2000, width: int = 1500) -> DataFrame:
+def score(docs: DataFrame, classes: int = 400) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     train = docs.where((fold(F.col("doc_id"), 7) != 2) | F.col("doc_id").isNull())
     counts = cut(corpus_counts(train))
@@ -93,15 +149,7 @@ def score(docs: DataFrame, classes: int = 400, sample: int = 2000, width: int =
     freq = np.array([ends, *[r["c"] for r in counts.where(F.col("word").isin(top)).orderBy(F.desc("c"), "word").collect()], 0.0])
     freq[rare] = max(0, n - freq.sum())
     rare_n, rare_v = float(freq[rare]), distinct - len(top)
-    got = train.where("text is not null").select(F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o"), F.substring("text", 1, width).alias("t"), (F.length("text") > width).alias("more")).orderBy("o", "t").limit(sample).collect()
-    contexts, targets = [np.zeros((0, 2), int)], [np.zeros(0, int)]
-    for r in got:
-        w = tokens(r["t"])
-        x = [ids.get(t, rare) for t in (w[:-1] if r["more"] else w)] + ([] if r["more"] else [END])
-        pad = np.array([END, END, *x])
-        contexts.append(np.stack([pad[: len(x)], pad[1 : len(x) + 1]], 1))
-        targets.append(np.array(x, int))
-    model = fit(np.concatenate(contexts)[:100_000], np.concatenate(targets)[:100_000], freq)
+    model = fit(train.select("text"), ids, rare, freq)
     share = docs.sparkSession.sparkContext.broadcast((model, hot, ids))
     base_of, rare_of = np.log10(float(n + v + 1)), np.log10(rare_n + rare_v + 1.0)
     end_base = np.log10(ends + 1.0) - base_of

@@ -123,6 +123,13 @@ def test_lm_base_and_sum(spark):
         assert rows[i]["n_known"] == sum(c[x] > 0 for x in w) and rows[i]["n_tokens"] == len(w) and rows[i]["score"] < 0
 
 
+def test_lm_trains_on_whole_texts(spark):
+    # The pattern stands beyond 1,500 characters of every text; past 100,000 tokens in the second half.
+    texts = ["word " * 400 + "p q r " * 60] * 300
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(spark, [*texts, "p q r " * 40, "r q p " * 40])).collect()}
+    assert got[300] - got[301] > 60
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/1", "HTTP://WWW.Example.com/en/1?q", "x://a.net/fr/2", "no", None, "http://x.com", "http://x.com/"]
     got = [(r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
