@@ -1,11 +1,14 @@
 """LM scoring: a log-bilinear model trained by noise-contrastive estimation, in numpy.
 
 Counts cover all training documents (crc32(doc_id) mod 7 is not 2) and grow with the corpus. The
-network predicts one of the ``classes`` most frequent tokens (the end among them) or "rare" from
-the two tokens before, normalised over all of them; a rare token then has its share of the
-add-one smoothed counts of all rare training tokens, so that token probabilities sum to one.
-Null texts are empty and hold only the end. The network is fitted in one pass over the whole texts
-of all training documents, by as many trainers as the cluster has cores.
+network predicts the next word from the two before: first one of the ``classes`` most frequent
+words (the end among them) or "rare"; then, for every other word, three hash digits one after the
+other, each normalised given the digits before. Digits have embeddings that words share, both as
+targets and as contexts, and biases from the corpus counts. There is about one leaf of digits for
+``LEAF`` distinct words, so the digits' range grows with the vocabulary; words of one leaf divide its
+probability by add-one smoothed counts, with one share for all unknown words. Token probabilities
+sum to one. Null texts are empty and hold only the end. The network is fitted in one pass over the
+whole texts of all training documents, by as many trainers as the cluster has cores.
 
 Words with at least N / HOT tokens number at most HOT; they are broadcast. All others are counted
 per document and meet their corpus counts in a shuffle join by word.
@@ -13,22 +16,29 @@ per document and meet their corpus counts in a shuffle join by word.
 
 import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldspark.llm.common import ascii_lower, cut, fold, words
 
 HOT = 20_000
+LEAF = 8
 TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 END = 0  # class of the end token; also the context before a text
 
 
+#: What a document's own task finds: hot words are settled, the others go on with their times.
+LOCAL = pa.schema([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
+
+
 def corpus_counts(train: DataFrame) -> DataFrame:
     return train.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
 
@@ -39,40 +49,104 @@ def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((rows[:, None] * k + np.arange(k)).ravel(), values.ravel(), n * k).reshape(n, k)
 
 
-def start(freq: np.ndarray, dim: int = 16) -> dict[str, np.ndarray]:
+class Codes(dict):
+    """A word's code: its class, or for a rare word the class "rare" plus its leaf."""
+
+    def __init__(self, ids: dict[str, int], rare: int, leaves: int):
+        super().__init__(ids)
+        self.ids, self.rare, self.leaves = ids, rare, leaves
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > len(self.ids) + 200_000:
+            self.clear()
+            self.update(self.ids)
+        code = self[word] = self.rare + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.leaves
+        return code
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.array([*map(self.__getitem__, words), END])
+
+
+class Shape:
+    """Classes with their counts, and the leaves of rare words with their smoothed mass."""
+
+    def __init__(self, freq: np.ndarray, mass: np.ndarray):
+        self.k, self.q = len(freq), (freq + 1.0) / (freq + 1.0).sum()
+        self.cdf = np.cumsum(self.q)[:-1]
+        self.base = b = round(len(mass) ** (1 / 3))
+        m = mass.reshape(b, b, b).astype(np.float64)
+        # Biases of a digit by the digits before: at the start, leaves have their corpus shares.
+        self.bias = [np.log(x / x.sum(-1, keepdims=True)).reshape(-1, b) for x in (m.sum((1, 2)), m.sum(2), m)]
+        self.rows = self.k + 3 * b
+        self.mass_log = np.log10(mass)
+
+    def digits(self, codes: np.ndarray) -> list[np.ndarray]:
+        leaf, b = codes - (self.k - 1), self.base
+        return [leaf // (b * b), leaf // b % b, leaf % b]
+
+    def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and rows of the embeddings whose sum stands for each code."""
+        far = np.flatnonzero(codes >= self.k - 1)
+        d = [self.k + j * self.base + x for j, x in enumerate(self.digits(codes[far]))]
+        return np.concatenate([np.arange(len(codes)), far, far, far]), np.concatenate([np.minimum(codes, self.k - 1), *d])
+
+    def embed(self, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        out = table[np.minimum(codes, self.k - 1)]
+        far = np.flatnonzero(codes >= self.k - 1)
+        if len(far):
+            out[far] += sum(table[self.k + j * self.base + x] for j, x in enumerate(self.digits(codes[far])))
+        return out
+
+
+def start(shape: Shape, dim: int = 16) -> dict[str, np.ndarray]:
     """The parameters that every trainer starts from: embeddings, context matrices and biases."""
-    k, r = len(freq), np.random.default_rng(5)
-    return {"R": r.normal(0, 0.1, (k, dim)), "E": r.normal(0, 0.1, (k, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log((freq + 1.0) / (freq + 1.0).sum())}
+    r = np.random.default_rng(5)
+    return {"R": r.normal(0, 0.1, (shape.rows, dim)), "E": r.normal(0, 0.1, (shape.rows, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log(shape.q)}
 
 
-def step(p, s, r, q, contexts: np.ndarray, targets: np.ndarray, noise: int = 10, shared: int = 64, rate: float = 0.1) -> None:
-    """One step of noise-contrastive estimation with Adagrad, in place.
+def contrast(h, e, own_bias, noise_bias, own_lq, noise_lq, t, w, noise: int):
+    """Derivatives of the contrastive loss for the targets' and the shared noise rows' logits.
 
-    A block shares ``shared`` noise classes, which stand for ``noise`` of each token.
+    A block shares its noise rows ``w``, which stand for ``noise`` of each token.
     """
-    n = len(targets)
-    x = [p["R"][contexts[:, c]] for c in (0, 1)]
+    own = 1 / (1 + np.exp(-np.clip((h * e[t]).sum(1) + own_bias - own_lq, -30, 30))) - 1
+    other = noise / len(w) / (1 + np.exp(-np.clip(h @ e[w].T + noise_bias - noise_lq, -30, 30)))
+    return own, other, own[:, None] * e[t] + other @ e[w]
+
+
+def step(p, s, r, shape: Shape, contexts: np.ndarray, codes: np.ndarray, noise: int = 10, shared: int = 64, rate: float = 0.1) -> None:
+    """One step of noise-contrastive estimation with Adagrad, in place."""
+    n, k, base = len(codes), shape.k, shape.base
+    x = [shape.embed(p["R"], contexts[:, c]) for c in (0, 1)]
     h = x[0] @ p["C"][0] + x[1] @ p["C"][1]
-    lq, w = np.log(noise * q), np.searchsorted(np.cumsum(q)[:-1], r.random(shared))
-    own = 1 / (1 + np.exp(-np.clip((h * p["E"][targets]).sum(1) + p["b"][targets] - lq[targets], -30, 30))) - 1
-    other = noise / shared / (1 + np.exp(-np.clip(h @ p["E"][w].T + p["b"][w] - lq[w], -30, 30)))
-    own, other = own / n**0.5, other / n**0.5
-    dh = own[:, None] * p["E"][targets] + other @ p["E"][w]
-    rows = np.concatenate([targets, w])
-    g = {
-        "E": scatter(rows, np.concatenate([own[:, None] * h, other.T @ h]), len(q)),
-        "b": np.bincount(rows, np.concatenate([own, other.sum(0)]), len(q)),
-        "C": np.stack([x[0].T @ dh, x[1].T @ dh]),
-        "R": scatter(contexts.T.ravel(), np.concatenate([dh @ p["C"][0].T, dh @ p["C"][1].T]), len(q)),
-    }
+    t, w, lq = np.minimum(codes, k - 1), np.searchsorted(shape.cdf, r.random(shared)), np.log(noise * shape.q)
+    own, other, dh = contrast(h, p["E"], p["b"][t], p["b"][w], lq[t], lq[w], t, w, noise)
+    rows, values = [t, w], [own[:, None] * h, other.T @ h]
+    gb = np.bincount(np.concatenate(rows), np.concatenate([own, other.sum(0)]), k)
+    far = np.flatnonzero(codes >= k - 1)
+    if len(far):
+        prefix, hf, lq = np.zeros(len(far), int), h[far], np.log(noise / base)
+        for j, d in enumerate(shape.digits(codes[far])):
+            u, low = r.integers(0, base, shared // 2), k + j * base
+            bias = shape.bias[j]
+            a, o, dhf = contrast(hf, p["E"], bias[prefix, d], bias[prefix[:, None], u], lq, lq, low + d, low + u, noise)
+            dh[far] += dhf
+            rows += [low + d, low + u]
+            values += [a[:, None] * hf, o.T @ hf]
+            prefix = prefix * base + d
+    dh, scale = dh / n**0.5, n**0.5
+    g = {"E": scatter(np.concatenate(rows), np.concatenate(values), shape.rows) / scale, "b": gb / scale, "C": np.stack([x[0].T @ dh, x[1].T @ dh]), "R": 0.0}
+    for c in (0, 1):
+        at, row = shape.parts(contexts[:, c])
+        g["R"] = g["R"] + scatter(row, (dh @ p["C"][c].T)[at], shape.rows)
     for name in p:
         s[name] += g[name] ** 2
         p[name] -= rate * g[name] / np.sqrt(s[name])
 
 
-def train_on(texts: Iterator[np.ndarray], freq: np.ndarray, block: int = 1024) -> tuple[dict[str, np.ndarray], int]:
-    """The parameters after one pass over whole texts of classes (ends included), and their tokens."""
-    p, r, q = start(freq), np.random.default_rng(6), (freq + 1.0) / (freq + 1.0).sum()
+def train_on(texts: Iterator[np.ndarray], shape: Shape, block: int = 1024) -> tuple[dict[str, np.ndarray], int]:
+    """The parameters after one pass over the codes of whole texts (ends included), and their tokens."""
+    p, r = start(shape), np.random.default_rng(6)
     s = {n: np.full_like(a, 1e-2) for n, a in p.items()}
     held, size, total = [], 0, 0
 
@@ -80,7 +154,7 @@ def train_on(texts: Iterator[np.ndarray], freq: np.ndarray, block: int = 1024) -
         c, t = (np.concatenate(a) for a in zip(*held))
         full = len(t) if last else len(t) // block * block
         for i in range(0, full, block):
-            step(p, s, r, q, c[i : min(i + block, full)], t[i : min(i + block, full)])
+            step(p, s, r, shape, c[i : min(i + block, full)], t[i : min(i + block, full)])
         return [(c[full:], t[full:])]
 
     for x in texts:
@@ -95,38 +169,55 @@ def train_on(texts: Iterator[np.ndarray], freq: np.ndarray, block: int = 1024) -
     return p, total
 
 
-def fit(texts: DataFrame, ids: dict[str, int], rare: int, freq: np.ndarray) -> dict[str, np.ndarray]:
+def fit(texts: DataFrame, ids: dict[str, int], shape: Shape) -> dict[str, np.ndarray]:
     """Parameters from one pass over all ``texts``: every core trains on its share of them from the
     same start, and the results are averaged by their numbers of tokens."""
     sc = texts.sparkSession.sparkContext
-    share = sc.broadcast((ids, freq))
+    share = sc.broadcast((ids, shape))
 
     def one(batches):
-        ids, freq = share.value
+        ids, shape = share.value
+        codes = Codes(ids, shape.k - 1, shape.base**3)
         every = (t for b in batches for t in b.column(0).to_pylist())
-        p, total = train_on((np.array([ids.get(w, rare) for w in tokens(t)] + [END]) for t in every), freq)
+        p, total = train_on((codes.of(tokens(t)) for t in every), shape)
         yield pa.RecordBatch.from_pydict({"total": [total], "p": [pickle.dumps(p)]})
 
-    out, n = {k: np.zeros_like(a) for k, a in start(freq).items()}, 0
+    out, n = {k: np.zeros_like(a) for k, a in start(shape).items()}, 0
     for r in texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(one, "total long, p binary").where("total > 0").collect():
         n += r["total"]
         for k, a in pickle.loads(r["p"]).items():
             out[k] += r["total"] * a
-    return {k: a / n for k, a in out.items()} if n else start(freq)
-
-
-def log_probabilities(p, ids: np.ndarray, block: int = 2048) -> np.ndarray:
-    """Normalised log10 probabilities of the classes ``ids`` of one text, by batched products."""
-    pad = np.concatenate([[END, END], ids])
-    out = np.empty(len(ids))
-    e, b = p["E"].T.astype(np.float32), p["b"].astype(np.float32)
-    ctx = [(p["R"] @ p["C"][c]).astype(np.float32) for c in (0, 1)]
-    for i in range(0, len(ids), block):
-        now = ids[i : i + block]
-        z = (ctx[0][pad[i : i + len(now)]] + ctx[1][pad[i + 1 : i + 1 + len(now)]]) @ e + b
+    return {k: a / n for k, a in out.items()} if n else start(shape)
+
+
+class Model:
+    def __init__(self, p: dict[str, np.ndarray], shape: Shape):
+        self.shape, self.e, self.b = shape, p["E"].astype(np.float32), p["b"].astype(np.float32)
+        self.bias = [x.astype(np.float32) for x in shape.bias]
+        self.ctx = [(p["R"] @ p["C"][c]).astype(np.float32) for c in (0, 1)]
+
+    @staticmethod
+    def normal(z: np.ndarray, at: np.ndarray) -> np.ndarray:
         top = z.max(1)
-        out[i : i + len(now)] = z[np.arange(len(now)), now] - top - np.log(np.exp(z - top[:, None]).sum(1))
-    return out / np.log(10)
+        return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
+
+    def log_probabilities(self, codes: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Normalised log10 probabilities of the classes and leaves of texts, each ending in END."""
+        k, base = self.shape.k, self.shape.base
+        one, two = np.concatenate([[END], codes[:-1]]), np.concatenate([[END, END], codes[:-2]])[: len(codes)]
+        two = np.where(one == END, END, two)
+        out = np.empty(len(codes))
+        for i in range(0, len(codes), block):
+            c = codes[i : i + block]
+            h = self.shape.embed(self.ctx[0], two[i : i + block]) + self.shape.embed(self.ctx[1], one[i : i + block])
+            out[i : i + len(c)] = self.normal(h @ self.e[:k].T + self.b, np.minimum(c, k - 1))
+            far = np.flatnonzero(c >= k - 1)
+            prefix, h = np.zeros(len(far), int), h[far]
+            for j, d in enumerate(self.shape.digits(c[far]) if len(far) else []):
+                low = k + j * base
+                out[i + far] += self.normal(h @ self.e[low : low + base].T + self.bias[j][prefix], d)
+                prefix = prefix * base + d
+        return out / np.log(10)
 
 
 def tokens(text: str | None) -> list[str]:
@@ -134,6 +225,18 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
 
 
+def leaf_mass(counts: DataFrame, top: list[str], rare_words: int) -> np.ndarray:
+    """Each leaf's tokens, plus one for each of its words and one for unknown words."""
+    base = 4
+    while base**3 * LEAF < rare_words:
+        base += 1
+    mass = np.ones(base**3)
+    leaf = F.crc32(F.col("word").cast("binary")) % base**3
+    held = counts.where(~F.col("word").isin(top)).groupBy(leaf.alias("leaf")).agg(F.sum(F.col("c") + 1).alias("m")).toPandas()
+    mass[held["leaf"].to_numpy(int)] += held["m"].to_numpy(float)
+    return mass
+
+
 def score(docs: DataFrame, classes: int = 400) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     train = docs.where((fold(F.col("doc_id"), 7) != 2) | F.col("doc_id").isNull())
@@ -148,33 +251,40 @@ def score(docs: DataFrame, classes: int = 400) -> DataFrame:
     rare = len(top) + 1
     freq = np.array([ends, *[r["c"] for r in counts.where(F.col("word").isin(top)).orderBy(F.desc("c"), "word").collect()], 0.0])
     freq[rare] = max(0, n - freq.sum())
-    rare_n, rare_v = float(freq[rare]), distinct - len(top)
-    model = fit(train.select("text"), ids, rare, freq)
-    share = docs.sparkSession.sparkContext.broadcast((model, hot, ids))
-    base_of, rare_of = np.log10(float(n + v + 1)), np.log10(rare_n + rare_v + 1.0)
-    end_base = np.log10(ends + 1.0) - base_of
-
-    @F.pandas_udf("struct<n:bigint,known:bigint,base:double,score:double,words:array<string>,times:array<bigint>>")
-    def local(text: pd.Series) -> pd.DataFrame:
-        p, hot, ids = share.value
-        rows = []
-        for t in text:
-            w = tokens(t)
-            x = np.array([ids.get(a, rare) for a in w] + [END])
-            s, known, base, rest = float(log_probabilities(p, x).sum()), int(ends > 0), end_base, {}
-            for a, k in Counter(w).items():
-                c = hot.get(a)
-                if c is None:
-                    rest[a] = k
-                    continue
-                known += k
-                base += k * (np.log10(c + 1.0) - base_of)
-                if a not in ids:
-                    s += k * (np.log10(c + 1.0) - rare_of)
-            rows.append((len(x), known, base, s, list(rest), list(rest.values())))
-        return pd.DataFrame(rows, columns=["n", "known", "base", "score", "words", "times"])
-
-    part = docs.select("doc_id", F.xxhash64("text").alias("h"), local("text").alias("x")).select("doc_id", "h", "x.*")
+    shape = Shape(freq, leaf_mass(counts, top, distinct - len(top)))
+    model = fit(train.select("text"), ids, shape)
+    share = docs.sparkSession.sparkContext.broadcast((Model(model, shape), hot, ids, shape.mass_log))
+    base_of, end_base = np.log10(float(n + v + 1)), np.log10(ends + 1.0) - np.log10(float(n + v + 1))
+
+    def local(batches):
+        model, hot, ids, leaf_log = share.value
+        codes = Codes(ids, rare, len(leaf_log))
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
+            split = [tokens(t) for t in batch.column("text").to_pylist()]
+            every = [codes.of(w) for w in split]
+            flat = np.concatenate(every)
+            logs, far = model.log_probabilities(flat), flat >= rare
+            logs[far] -= leaf_log[flat[far] - rare]
+            out = {"n": [len(x) for x in every], "known": [], "base": [], "score": np.add.reduceat(logs, np.cumsum([0, *map(len, every[:-1])])), "words": [], "times": []}
+            for i, w in enumerate(split):
+                known, base, s, rest = int(ends > 0), end_base, 0.0, {}
+                for a, k in Counter(w).items():
+                    c = hot.get(a)
+                    if c is None:
+                        rest[a] = k
+                        continue
+                    known += k
+                    c = np.log10(c + 1.0)
+                    base += k * (c - base_of)
+                    if a not in ids:
+                        s += k * c
+                out["score"][i] += s
+                for name, x in (("known", known), ("base", base), ("words", list(rest)), ("times", list(rest.values()))):
+                    out[name].append(x)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), *(pa.array(out[f.name], f.type) for f in LOCAL)], names=["doc_id", "h", *LOCAL.names])
+
+    kind = StructType([docs.schema["doc_id"], StructField("h", LongType()), *from_arrow_schema(LOCAL).fields])
+    part = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(local, kind)
     part = cut(part.withColumn("m", F.aggregate("times", F.lit(0).cast("bigint"), lambda a, b: a + b)))
     rest = part.select("doc_id", "h", F.explode(F.arrays_zip("words", "times")).alias("z")).select("doc_id", "h", F.col("z.words").alias("word"), F.col("z.times").alias("k"))
     # Top words below the hot bound are few and have a class; they take no rare share.
@@ -182,7 +292,7 @@ def score(docs: DataFrame, classes: int = 400) -> DataFrame:
     met = rest.join(counts.where(F.col("c") < floor), "word", "left").withColumn("l", F.log10(F.coalesce("c", F.lit(0)) + F.lit(1.0)))
     per = met.groupBy("doc_id", "h").agg(
         F.sum("k").alias("all"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("k1"),
-        F.sum(F.col("k") * (F.col("l") - base_of)).alias("b1"), F.sum(F.when(classed, 0.0).otherwise(F.col("k") * (F.col("l") - rare_of))).alias("s1"),
+        F.sum(F.col("k") * (F.col("l") - base_of)).alias("b1"), F.sum(F.when(classed, 0.0).otherwise(F.col("k") * F.col("l"))).alias("s1"),
     ).withColumnsRenamed({"doc_id": "_d", "h": "_h"})
     out = part.drop("words", "times").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h")), "left")
 

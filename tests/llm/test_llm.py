@@ -130,6 +130,24 @@ def test_lm_trains_on_whole_texts(spark):
     assert got[300] - got[301] > 60
 
 
+def test_lm_rare_words_have_contexts(spark):
+    texts = ["p q r " * 60] * 60 + ["x y z " * 60] * 60
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(spark, [*texts, "x y z " * 40, "z y x " * 40]), classes=1).collect()}
+    assert got[120] - got[121] > 5
+
+
+def test_lm_probabilities_sum_to_one():
+    r = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    shape = lm.Shape(np.array([5.0, 9, 8, 70]), np.arange(1.0, 28))
+    codes = lm.Codes({"a": 1, "b": 2}, 3, 27)
+    p, _ = lm.train_on((codes.of(list(r.choice(words, 50))) for _ in range(40)), shape)
+    model = lm.Model(p, shape)
+    for left in ([1, 2], [3 + 7, 1], [3 + 26, 3]):
+        every = [sum(10 ** model.log_probabilities(np.array([*left, c, 0]))[2] for c in range(a, b)) for a, b in ((0, 3), (3, 30))]
+        assert sum(every) == pytest.approx(1, abs=1e-5) and every[1] > 0
+
+
 def test_url_rules(spark):
     urls = ["http://a.example.com/en/1", "HTTP://WWW.Example.com/en/1?q", "x://a.net/fr/2", "no", None, "http://x.com", "http://x.com/"]
     got = [(r["host"], r["rule"], r["verdict"]) for r in url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).orderBy("page_id").collect()]
