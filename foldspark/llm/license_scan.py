@@ -1,13 +1,19 @@
 """License scans by conditional compression.
 
-Lines of whole texts are cut into sentences (at most ``WORDS`` words, in steps of half), and those
-with a licence word are candidate blocks. Each is compressed plainly and with every template as
-zstandard raw dictionary; templates are ranked by the size saved, and the winner is confirmed by
-its exact wording differences. Null, empty and licence-free texts give an empty list.
+Words of whole texts are compared across line and sentence ends, without punctuation and comment
+marks. A template of n words matches where at least ``similar`` of them stand in order, so one of any
+n - similar * n + 1 of its words must be there: the words that fewest templates have are its anchors.
+Around each anchor in a text lies a window, a quarter of the template wider on either side. A window
+holding enough of the template's words is compressed plainly and with the template as zstandard raw
+dictionary; every template that saves size is confirmed by its exact wording differences. Where
+findings overlap, the one with most equal less differing words is kept. Null, empty and licence-free
+texts give an empty list.
 """
 
 import difflib
+import math
 import re
+from collections import Counter
 
 import pandas as pd
 import zstandard
@@ -25,47 +31,114 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-HINT = re.compile(r"licen[sc]|redistribut|public domain|copyleft", re.I)
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?:](?=\s)|\n|\Z)")
 WORD = re.compile(r"\w+")
-WORDS = 200
+#: Line ends with the comment marks after them.
+BREAK = re.compile(r"\s*\n[\s/*#;%!>|-]*")
 
 
-def blocks(text: str | None):
-    """Candidate blocks as (start, end)."""
-    for m in SENTENCE.finditer(text or ""):
-        if not m[0] or not HINT.search(m[0]):
-            continue
-        at = [w.span() for w in re.finditer(r"\S+", m[0])]
-        for i in range(0, max(1, len(at) - WORDS // 2), WORDS // 2):
-            a, b = m.start() + at[i][0], m.start() + at[min(i + WORDS, len(at)) - 1][1]
-            if HINT.search(text[a:b]):
-                yield a, b
+class Template:
+    def __init__(self, name: str, text: str, similar: float):
+        self.name, self.words = name, [w.lower() for w in WORD.findall(text)]
+        self.bag = Counter(self.words)
+        self.need = max(1, math.ceil(similar * len(self.words) - 1e-9))
+        self.slack = max(4, len(self.words) // 4)
+        self.press = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
+
+    def anchors(self, spread: Counter) -> set[str]:
+        """The least spread words, so many that a match cannot do without all of them."""
+        out, left = set(), len(self.words) - self.need + 1
+        for w in sorted(self.bag, key=lambda w: (spread[w], -len(w), w)):
+            if left <= 0:
+                break
+            out.add(w)
+            left -= self.bag[w]
+        return out
+
+    def enough(self, bag: Counter) -> bool:
+        return sum(min(c, bag[w]) for w, c in self.bag.items()) >= self.need
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], similar: float):
-        self.similar = similar
-        self.templates = [(k, [w.lower() for w in WORD.findall(t)], zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))) for k, t in templates.items()]
+    def __init__(self, templates, similar: float):
+        """``templates`` has names and wordings, as a mapping or, with several wordings of a name, as pairs."""
+        pairs = templates.items() if isinstance(templates, dict) else templates
+        self.templates = [t for t in (Template(k, v, similar) for k, v in pairs) if t.words]
+        spread = Counter(w for t in self.templates for w in t.bag)
+        self.anchors: dict[str, list[int]] = {}
+        for i, t in enumerate(self.templates):
+            for w in t.anchors(spread):
+                self.anchors.setdefault(w, []).append(i)
         self.plain = zstandard.ZstdCompressor(level=3)
 
-    def scan(self, block: str):
-        """(licence, size saved, differing words) of the best template, or None."""
-        data = block.encode("utf-8", "replace")
-        alone = len(self.plain.compress(data))
-        saved = sorted(((alone - len(c.compress(data)), k, w) for k, w, c in self.templates), key=lambda s: (-s[0], s[1]))
-        words = [w.lower() for w in WORD.findall(block)]
-        best = None
-        for gain, name, want in [s for s in saved[:3] if s[0] > 0]:
-            ops = difflib.SequenceMatcher(None, want, words, autojunk=False).get_opcodes()
-            same = sum(b - a for tag, a, b, _, _ in ops if tag == "equal")
-            first, last = [o for o in ops if o[0] == "equal"][:1], [o for o in ops if o[0] == "equal"][-1:]
-            if not first:
+    def saved(self, block: str, t: Template) -> int:
+        data = BREAK.sub(" ", block).encode("utf-8", "replace")
+        return len(self.plain.compress(data)) - len(t.press.compress(data))
+
+    def confirm(self, t: Template, words: list[str]):
+        """(equal words, differing words, first and last place in ``words``), or None."""
+        m = difflib.SequenceMatcher(None, t.words, words, autojunk=False)
+        blocks = m.get_matching_blocks()[:-1]
+        # A stray equal word far from the others is left out while enough is equal without it.
+        while len(blocks) > 1 and sum(b.size for b in blocks) > t.need:
+            ends = [(blocks[1].b - blocks[0].b - blocks[0].size, 0), (blocks[-1].b - blocks[-2].b - blocks[-2].size, -1)]
+            gap, end = max(ends)
+            if gap <= 2 * blocks[end].size or sum(b.size for b in blocks) - blocks[end].size < t.need:
+                break
+            del blocks[end]
+        same = sum(b.size for b in blocks)
+        if same < t.need:
+            return None
+        differ = blocks[0].a + len(t.words) - blocks[-1].a - blocks[-1].size
+        for x, y in zip(blocks, blocks[1:]):
+            differ += max(y.a - x.a - x.size, y.b - x.b - x.size)
+        return same, differ, blocks[0].b, blocks[-1].b + blocks[-1].size - 1
+
+    def find(self, text: str | None):
+        """Findings of a text in order: (start, end, licence, size saved, differing words)."""
+        words = [w.lower() for w in WORD.findall(text or "")]
+        if self.anchors.keys().isdisjoint(words):
+            return []
+        hits: dict[int, list[int]] = {}
+        for at, w in enumerate(words):
+            for i in self.anchors.get(w, ()):
+                hits.setdefault(i, []).append(at)
+        bag, spans, found = Counter(words), [m.span() for m in WORD.finditer(text)], []
+        for i, places in hits.items():
+            t = self.templates[i]
+            if not t.enough(bag):
                 continue
-            differ = sum(max(b - a, d - c) for tag, a, b, c, d in ops if tag != "equal" and c >= first[0][3] and d <= last[0][4]) + first[0][1] + len(want) - last[0][2]
-            if same >= self.similar * len(want) and (best is None or differ < best[2]):
-                best = (name, gain, differ)
-        return best
+            n, where, done, tried = len(t.words), {}, -1, set()
+            for j, w in enumerate(t.words):
+                where.setdefault(w, []).append(j)
+            for at in places:
+                if at <= done:
+                    continue
+                for j in where[words[at]]:
+                    # Starts of one half slack share a window, which is wide enough for both.
+                    low = (at - j) // max(1, t.slack // 2) * max(1, t.slack // 2)
+                    if low in tried or at <= done:
+                        continue
+                    tried.add(low)
+                    a, b = max(0, low - t.slack, done + 1), min(len(words), low + n + 2 * t.slack)
+                    if not t.enough(Counter(words[a:b])) or not (got := self.confirm(t, words[a:b])):
+                        continue
+                    same, differ, x, y = got
+                    start, end = spans[a + x][0], spans[a + y][1]
+                    while end < len(text) and not text[end].isspace() and not text[end].isalnum():
+                        end += 1
+                    if (gain := self.saved(text[start:end], t)) > 0:
+                        found.append((same - differ, gain, start, end, t.name, differ))
+                        done = a + y
+        kept = []
+        for _, gain, start, end, name, differ in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
+            if all(end <= k[0] or start >= k[1] for k in kept):
+                kept.append((start, end, name, gain, differ))
+        return sorted(kept)
+
+    def scan(self, block: str):
+        """(licence, size saved, differing words) of the best finding, or None."""
+        found = self.find(block)
+        return min((f[2:] for f in found), key=lambda f: (f[2], -f[1])) if found else None
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, similar: float = 0.8) -> DataFrame:
@@ -73,19 +146,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, similar: float = 0.8) -> DataFram
 
     @F.pandas_udf("array<struct<start:int,end:int,license:string,saved:int,differing:int>>")
     def every(text: pd.Series) -> pd.Series:
-        s, known, out = Scanner(templates, similar), {}, []
-        for t in text:
-            row = []
-            for a, b in blocks(t):
-                block = t[a:b]
-                if block not in known:
-                    if len(known) > 50_000:
-                        known.clear()
-                    known[block] = s.scan(block)
-                if known[block]:
-                    name, gain, differ = known[block]
-                    row.append({"start": a, "end": b, "license": name, "saved": gain, "differing": differ})
-            out.append(row)
+        s = Scanner(templates, similar)
+        names = ("start", "end", "license", "saved", "differing")
+        out = [[dict(zip(names, f)) for f in s.find(t)] for t in text]
         return pd.Series(out, dtype="object")
 
     return docs.select("doc_id", every("text").alias("found"))

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -162,6 +163,14 @@ def test_license():
     assert s.scan("my driver licence was renewed") is None
 
 
+def test_license_wrapped(spark):
+    bsd, mpl = license_scan.TEMPLATES["BSD-3-Clause"], license_scan.TEMPLATES["MPL-2.0"]
+    texts = ["code\n// " + "\n// ".join(textwrap.wrap(bsd, 40)) + "\nmore", "Licensed under the Apache License,\n * Version 2.0. See it.", mpl, f"{mpl} Some other words.\n{mpl}", "a licence\nand the license"]
+    rows = [r["found"] for r in license_scan.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert [[(f["license"], f["differing"]) for f in r] for r in rows] == [[("BSD-3-Clause", 0)], [("Apache-2.0", 0)], [("MPL-2.0", 0)], [("MPL-2.0", 0)] * 2, []]
+    assert texts[1][rows[1][0]["start"] : rows[1][0]["end"]] == texts[1][:50]
+
+
 def test_edges(spark, edge):
     empty = edge.where("false")
     bench = spark.createDataFrame([(1, "one"), (2, None), (3, "word word word word word word word word word word")], "item_id long, text string")
