@@ -14,6 +14,7 @@ import difflib
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 import pandas as pd
 import zstandard
@@ -31,6 +32,25 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {} of the License, or (at your option) any later version."
+#: Further usual notices.
+NOTICES = [
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    *((name, FREE.format(*what)) for name, what in {
+        "GPL-2.0": ("General Public License", "either version 2"), "GPL-3.0": ("General Public License", "either version 3"), "AGPL-3.0": ("Affero General Public License", "either version 3"),
+        "LGPL-2.1": ("Lesser General Public License", "either version 2.1"), "LGPL-3.0": ("Lesser General Public License", "either version 3"),
+    }.items()),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("EPL-1.0", "All rights reserved. This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution"),
+]
+#: All wordings as (name, text): the notices, and full licence texts by file name.
+WORDINGS = [*TEMPLATES.items(), *NOTICES, *((f.stem, f.read_text()) for f in sorted((Path(__file__).parent / "licenses").glob("*.txt")))]
 WORD = re.compile(r"\w+")
 #: Line ends with the comment marks after them.
 BREAK = re.compile(r"\s*\n[\s/*#;%!>|-]*")
@@ -75,7 +95,8 @@ class Scanner:
         return len(self.plain.compress(data)) - len(t.press.compress(data))
 
     def confirm(self, t: Template, words: list[str]):
-        """(equal words, differing words, first and last place in ``words``), or None."""
+        """(equal less differing words, differing words, first and last place in ``words``, and where
+        the template would begin), or None."""
         m = difflib.SequenceMatcher(None, t.words, words, autojunk=False)
         blocks = m.get_matching_blocks()[:-1]
         # A stray equal word far from the others is left out while enough is equal without it.
@@ -91,7 +112,7 @@ class Scanner:
         differ = blocks[0].a + len(t.words) - blocks[-1].a - blocks[-1].size
         for x, y in zip(blocks, blocks[1:]):
             differ += max(y.a - x.a - x.size, y.b - x.b - x.size)
-        return same, differ, blocks[0].b, blocks[-1].b + blocks[-1].size - 1
+        return same - differ, differ, blocks[0].b, blocks[-1].b + blocks[-1].size - 1, blocks[0].b - blocks[0].a
 
     def find(self, text: str | None):
         """Findings of a text in order: (start, end, licence, size saved, differing words)."""
@@ -122,12 +143,17 @@ class Scanner:
                     a, b = max(0, low - t.slack, done + 1), min(len(words), low + n + 2 * t.slack)
                     if not t.enough(Counter(words[a:b])) or not (got := self.confirm(t, words[a:b])):
                         continue
-                    same, differ, x, y = got
+                    # An anchor may be one of several like words; the window is laid anew from the match.
+                    again = max(0, a + got[4] - t.slack, done + 1)
+                    more = self.confirm(t, words[again : a + got[4] + n + t.slack])
+                    if more and more[0] > got[0]:
+                        a, got = again, more
+                    score, differ, x, y, _ = got
                     start, end = spans[a + x][0], spans[a + y][1]
                     while end < len(text) and not text[end].isspace() and not text[end].isalnum():
                         end += 1
                     if (gain := self.saved(text[start:end], t)) > 0:
-                        found.append((same - differ, gain, start, end, t.name, differ))
+                        found.append((score, gain, start, end, t.name, differ))
                         done = a + y
         kept = []
         for _, gain, start, end, name, differ in sorted(found, key=lambda f: (-f[0], -f[1], f[2], f[4])):
@@ -141,7 +167,7 @@ class Scanner:
         return min((f[2:] for f in found), key=lambda f: (f[2], -f[1])) if found else None
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, similar: float = 0.8) -> DataFrame:
+def scan(docs: DataFrame, templates=WORDINGS, similar: float = 0.8) -> DataFrame:
     """doc_id and its findings: (start, end, license, saved, differing)."""
 
     @F.pandas_udf("array<struct<start:int,end:int,license:string,saved:int,differing:int>>")

@@ -171,6 +171,16 @@ def test_license_wrapped(spark):
     assert texts[1][rows[1][0]["start"] : rows[1][0]["end"]] == texts[1][:50]
 
 
+def test_license_full_texts():
+    s = license_scan.Scanner(license_scan.WORDINGS, 0.8)
+    for name, text in license_scan.WORDINGS:
+        found = s.find("Some words before.\n" + "\n# ".join(textwrap.wrap(text, 60)) + "\nand some after it")
+        assert [(f[2], f[4]) for f in found] == [(name, 0)]
+    # Without a usual licence word, and with four like wordings that save as much.
+    own = license_scan.Scanner([(f"v{i}", f"You may share these pages of the house of green gables in year {i}") for i in range(6)], 0.8)
+    assert [own.scan(f"You may share these pages of the house of green gables in year {i}")[::2] for i in range(6)] == [(f"v{i}", 0) for i in range(6)]
+
+
 def test_edges(spark, edge):
     empty = edge.where("false")
     bench = spark.createDataFrame([(1, "one"), (2, None), (3, "word word word word word word word word word word")], "item_id long, text string")
