@@ -14,8 +14,9 @@ def language(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Keeps one document of each near-duplicate group; repeated rows of a kept id count once."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    """Keeps one document of each near-duplicate group, linked from a similarity of 0.8 on five-word
+    shingles; repeated rows of a kept id count once."""
+    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

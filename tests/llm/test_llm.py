@@ -8,6 +8,7 @@ import textwrap
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from foldspark.llm import decontaminate, embed_dedup, langid, license_scan, lm, minhash, mix, pii, tokencount, url_filter
 
 SF = "/root/testdata/sf0.01"
@@ -49,6 +50,14 @@ def test_near_dedup_is_brute_force(spark):
     assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
 
 
+def test_pipeline_links_from_80_percent(spark):
+    # Two words differ far apart: 86 of 106 shingles are shared (0.81).
+    words = [f"w{i}" for i in range(100)]
+    near = [w if i not in (30, 60) else "z" for i, w in enumerate(words)]
+    docs = docs_of(spark, [" ".join(words), " ".join(near), " ".join(reversed(words))])
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {0, 2}
+
+
 def test_embeddings_are_brute_force(spark):
     r = np.random.default_rng(1)
     rows = [list(map(float, c + r.normal(0, 0.12, 16))) for c in r.normal(0, 1, (40, 16)) for _ in range(r.integers(1, 30))]
