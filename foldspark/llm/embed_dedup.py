@@ -3,8 +3,9 @@
 Null, zero and non-finite vectors (and those holding nulls) link with nothing. Bit-equal vectors
 are folded first and counted as links of each other. A shard's graph is built in one task from at
 most about ``shard_rows`` vectors and stored as a row; blocks of queries then meet every graph.
-Beams double until an audit against brute force reaches ``recall``, and for a single query while
-its whole beam is within the threshold, so that no number of partners is a cap. Each hit is
+Beams double until an audit against brute force, over members of all shards and query by query,
+reaches ``recall`` for each; a shard that fails at its full beam is searched by brute force. They double for a single query while its
+whole beam is within the threshold, so that no number of partners is a cap. Each hit is
 confirmed by cosine in double precision. Vectors of different lengths never link.
 """
 
@@ -19,6 +20,12 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import components, cut
 
 
+#: In place of a beam: the shard failed its audit at every beam and is searched by brute force.
+BRUTE = 0
+#: Own members that a shard's audit asks; four times as many are drawn from all shards together.
+AUDIT = 64
+
+
 class Graph:
     """Small-world graph over unit rows ``x``; the first rows form the upper layers."""
 
@@ -152,14 +159,36 @@ class Graph:
             todo, beam = np.concatenate(again), beam * 2
         return np.concatenate(found) if found else np.zeros((0, 2), int)
 
-    def audited(self, low: float, recall: float, beam: int = 32, sample: int = 64) -> int:
-        """The beam at which the links of evenly spread members are found as by brute force."""
-        pick = np.unique(np.linspace(0, len(self.x) - 1, sample).astype(int))
-        q = self.x[pick]
-        want = int((q @ self.x.T >= low).sum())
-        while beam < len(self.x) and len(self.within(q, low, beam)) < recall * want:
+    def brute(self, q: np.ndarray, low: float) -> np.ndarray:
+        """All (query, position) pairs with cosine of at least ``low``, by blocked products."""
+        found = [np.zeros((0, 2), int)]
+        step = max(1, 8_000_000 // max(len(self.x), 1))
+        for i in range(0, len(q), step):
+            a, b = np.nonzero(q[i : i + step] @ self.x.T >= low - 1e-9)
+            sure = np.einsum("nd,nd->n", q[i + a], self.x[b]) >= low - 1e-12
+            found.append(np.stack([i + a[sure], b[sure]], 1))
+        return np.concatenate(found)
+
+    def links(self, q: np.ndarray, low: float, beam: int) -> np.ndarray:
+        return self.brute(q, low) if beam == BRUTE else self.within(q, low, beam)
+
+    def audited(self, q: np.ndarray, own: np.ndarray, low: float, recall: float, beam: int = 32) -> int:
+        """The beam at which every query's links are found as by brute force, or BRUTE if none does.
+
+        ``own`` is a query's own position (-1 for those of other shards); it is no link. Each query
+        with links must reach ``recall`` by itself, so that no large group hides a small one.
+        """
+
+        def count(pairs):
+            return np.bincount(pairs[pairs[:, 1] != own[pairs[:, 0]], 0], minlength=len(q))
+
+        want = count(self.brute(q, low))
+        while True:
+            if (count(self.within(q, low, beam)) >= recall * want).all():
+                return beam
+            if beam >= len(self.x):
+                return BRUTE
             beam *= 2
-        return beam
 
 
 def unit(rows) -> np.ndarray:
@@ -205,11 +234,19 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // block_rows))
     reps = reps.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("g", F.lit(1)), F.lit(blocks)).cast("int"))
 
+    picked = {}
+    for r in reps.orderBy(F.xxhash64("g", F.lit(2)), "g").limit(4 * AUDIT).select("dim", "shard", "e").collect():
+        picked.setdefault(r["dim"], []).append((r["shard"], r["e"]))
+    sample = vectors.sparkSession.sparkContext.broadcast(picked)
+
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         graph = Graph(unit(pdf["e"]))
-        beam = graph.audited(low, recall)
-        pairs = graph.within(graph.x, low, beam)
+        pick = np.unique(np.linspace(0, len(pdf) - 1, AUDIT).astype(int))
+        other = [e for shard, e in sample.value.get(int(pdf["dim"].iloc[0]), []) if shard != pdf["shard"].iloc[0]]
+        q = np.concatenate([graph.x[pick], unit(other)]) if other else graph.x[pick]
+        beam = graph.audited(q, np.concatenate([pick, np.full(len(other), -1)]), low, recall)
+        pairs = graph.links(graph.x, low, beam)
         names = labels_of(len(pdf), pairs, pdf["rep"].to_numpy())
         blob = pickle.dumps((graph, beam, names, pdf["rep"].to_numpy(), pdf["copies"].to_numpy()))
         return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blob": [blob]})
@@ -221,7 +258,7 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096
         if len(q) and len(g):
             graph, beam, names, reps_, copies = pickle.loads(g["blob"].iloc[0])
             ids = q["rep"].to_numpy()
-            pairs = graph.within(unit(q["e"]), low, beam)
+            pairs = graph.links(unit(q["e"]), low, beam)
             other = ids[pairs[:, 0]] != reps_[pairs[:, 1]]
             links = np.zeros(len(q), np.int64)
             np.add.at(links, pairs[other, 0], copies[pairs[other, 1]])

@@ -75,6 +75,21 @@ def test_embeddings_are_brute_force(spark):
     assert same >= 0.99
 
 
+def test_embedding_audit_is_per_query():
+    r = np.random.default_rng(3)
+    big, rest = r.normal(0, 1, 16), r.normal(0, 1, (300, 16))
+    rows = np.concatenate([big + r.normal(0, 0.02, (300, 16)), rest, rest[:20] + r.normal(0, 0.01, (20, 16))])
+    g = embed_dedup.Graph(embed_dedup.unit(rows))
+    q, own = g.x, np.arange(len(g.x))
+    exact = g.brute(q, 0.9)
+    assert {tuple(p) for p in exact} == {tuple(p) for p in np.argwhere(g.x @ g.x.T >= 0.9)}
+    # Without links in the graph no beam reaches the small groups, though most pairs may be found.
+    g.within = lambda q, low, beam: exact[(exact[:, 0] < 300) | (exact[:, 0] == exact[:, 1])]
+    assert len(g.within(q, 0.9, 32)) >= 0.99 * len(exact)
+    assert g.audited(q, own, 0.9, 0.99) == embed_dedup.BRUTE
+    assert len(g.links(q, 0.9, embed_dedup.BRUTE)) == len(exact)
+
+
 def test_language_held_out(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     from foldspark.llm.common import fold
