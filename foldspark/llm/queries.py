@@ -38,7 +38,7 @@ def op7_pii(spark, sf):
 
 
 def op8_minhash(spark, sf):
-    return minhash.near_duplicates(table(spark, sf, "documents"))
+    return minhash.near_duplicates(table(spark, sf, "documents"), percent=85)
 
 
 def op9_lm_score(spark, sf):

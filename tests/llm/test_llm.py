@@ -45,9 +45,32 @@ def test_near_dedup_is_brute_force(spark):
     texts += [None, "", texts[0].upper()]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())) else set() for t in texts]
     links = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
-    got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts)).collect()}
-    assert [got[i]["component_id"] for i in range(len(texts))] == union(len(texts), links)
-    assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+    # By clusters in one task each, and with every cluster taken as too large for that.
+    for how in ({}, {"members": 1}):
+        got = {r["doc_id"]: r for r in minhash.near_duplicates(docs_of(spark, texts), percent=85, **how).collect()}
+        assert [got[i]["component_id"] for i in range(len(texts))] == union(len(texts), links)
+        assert [got[i]["n_shingles"] for i in range(len(texts))] == [len(s) for s in sets]
+        assert [got[i]["kept"] for i in range(len(texts))] == [c == i for i, c in enumerate(union(len(texts), links))]
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    same, other = "a b c d e f g h i j", "k l m n o p q r s t"
+    rows = [(None, same), (7, same), (7, same), (3, same), (3, other), (None, ""), (None, None), (9, ""), (None, "alone and by itself here")]
+    d = spark.createDataFrame([(i, t, str(n), 1, 2) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row string, size int, g int")
+    got = sorted(minhash.one_of_each(d).collect(), key=lambda r: int(r["row"]))
+    assert [r["row"] for r in got] == ["3", "4", "5", "6", "7", "8"] and got[0].asDict() == {"doc_id": 3, "text": same, "row": "3", "size": 1, "g": 2}
+    by = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(d).collect()}
+    assert by == {(None, 6, 3, False), (7, 6, 3, False), (3, 6, 3, True), (None, 0, None, False), (9, 0, 9, True), (None, 1, None, False)}
+    assert minhash.one_of_each(d.where("false")).columns == d.columns
+
+
+def test_sketches_of_many_sets_are_those_of_each():
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(90)}" for _ in range(n)) for n in (0, 1, 3, 4, 5, 6, 40, 700, 5, 0, 2000)] + [None, "A b\u00a0c"]
+    flat, n = minhash.shingle_sets(texts, 5, minhash.Hashes())
+    sets = [minhash.shingle_set(t, 5) for t in texts]
+    assert flat.tolist() == [x for s in sets for x in s.tolist()] and n.tolist() == [len(s) for s in sets]
+    assert minhash.sketches(flat, n[n > 0], 128).tolist() == [minhash.sketch(s, 128).tolist() for s in sets if len(s)]
 
 
 def test_pipeline_links_from_80_percent(spark):
