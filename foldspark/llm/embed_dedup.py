@@ -1,14 +1,25 @@
 """Embedding near-dedup: one navigable small-world graph per shard, every shard queried.
 
 Null, zero and non-finite vectors (and those holding nulls) link with nothing. Bit-equal vectors
-are folded first and counted as links of each other. A shard's graph is built in one task from at
-most about ``shard_rows`` vectors and stored as a row; blocks of queries then meet every graph.
+are folded first and counted as links of each other. A shard's graph is built in one task and stored
+as a row. There are SHARDS shards until each holds SHARD_ROWS vectors, and more beyond: as long as
+their number stays, work grows little faster than the input. Each two shards meet in one task, where
+the vectors of the later one query the earlier one's graph; within a shard each vector asks for those
+before it. Every two vectors are thus asked about once, and a link counts for both ends.
+
 Beams double until an audit against brute force, over members of all shards and query by query,
-reaches ``recall`` for each; a shard that fails at its full beam is searched by brute force. They double for a single query while its
-whole beam is within the threshold, so that no number of partners is a cap. Each hit is
-confirmed by cosine in double precision. Vectors of different lengths never link.
+reaches ``recall`` for each; they double for a single query while its whole beam is within the
+threshold, so that no number of partners is a cap. Where a beam comes near the cost of it, brute
+force takes over, for a query or, if the audit keeps failing, for a shard. Each hit is confirmed by
+cosine in double precision. Vectors of different lengths never link.
+
+Rows are told apart by place, so repeated and null vec_ids are vectors of their own; a component is
+named after its least vec_id that is not null, and a null vec_id is not ``kept``. Extra columns, whatever
+their names, don't matter; an empty table gives an empty result.
 """
 
+from collections.abc import Iterator
+
 import pickle
 
 import numpy as np
@@ -20,6 +31,8 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import components, cut
 
 
+#: Shards at least (but for SMALL vectors a shard), and vectors of a shard at most.
+SHARDS, SHARD_ROWS, SMALL = 4, 65_536, 256
 #: In place of a beam: the shard failed its audit at every beam and is searched by brute force.
 BRUTE = 0
 #: Own members that a shard's audit asks; four times as many are drawn from all shards together.
@@ -27,11 +40,12 @@ AUDIT = 64
 
 
 class Graph:
-    """Small-world graph over unit rows ``x``; the first rows form the upper layers."""
+    """Small-world graph over the rows ``raw``; the first rows form the upper layers."""
 
-    def __init__(self, x: np.ndarray, m: int = 16, build: int = 48, seed: int = 3):
-        self.x, self.f, self.m = x, x.astype(np.float32), m
-        n = len(x)
+    def __init__(self, raw: np.ndarray, m: int = 16, build: int = 48, seed: int = 3):
+        self.raw, self.norm, self.m = raw, np.linalg.norm(raw.astype(np.float64), axis=1), m
+        n = len(raw)
+        self.f = (raw / self.norm[:, None]).astype(np.float32)
         level = np.floor(-np.log(np.random.default_rng(seed).random(n)) / np.log(m)).astype(int)
         order = np.argsort(-level, kind="stable")
         self.order, self.f = order, self.f[order]
@@ -55,6 +69,13 @@ class Graph:
             self.backlink(np.repeat(new, m), links.ravel())
             done = int(new[-1]) + 1
 
+    def __getstate__(self):
+        return self.__dict__ | {"f": None}
+
+    def __setstate__(self, state):
+        self.__dict__ = state
+        self.f = (self.raw / self.norm[:, None]).astype(np.float32)[self.order]
+
     def nearest(self, k: int) -> np.ndarray:
         s = self.f[:k] @ self.f[:k].T
         np.fill_diagonal(s, -2)
@@ -84,16 +105,18 @@ class Graph:
         sims = np.einsum("nd,nd->n", self.f[src], self.f[dst])
         o = np.lexsort((-sims, dst))
         src, dst = src[o], dst[o]
-        rows, at, n = np.unique(dst, return_index=True, return_counts=True)
-        wide = min(int(n.max()), 64)
-        new = np.full((len(rows), wide), -1, np.int32)
-        place = np.arange(len(dst)) - np.repeat(at, n)
-        keep = place < wide
-        new[np.repeat(np.arange(len(rows)), n)[keep], place[keep]] = src[keep]
-        ids = np.concatenate([self.g[rows], new], 1)
-        s = np.einsum("rd,rcd->rc", self.f[rows], self.f[np.maximum(ids, 0)])
-        s[ids < 0] = -2
-        self.g[rows] = self.diverse(ids, s, 2 * self.m)
+        first = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])) if len(dst) else np.zeros(0, int)
+        place = np.arange(len(dst)) - np.repeat(first, np.diff(np.concatenate([first, [len(dst)]])))
+        # A hub's links come in turns of 64, nearest first, so that all are considered.
+        for low in range(0, int(place.max(initial=-1)) + 1, 64):
+            now = (place >= low) & (place < low + 64)
+            rows, at = np.unique(dst[now], return_inverse=True)
+            new = np.full((len(rows), int(place[now].max()) - low + 1), -1, np.int32)
+            new[at, place[now] - low] = src[now]
+            ids = np.concatenate([self.g[rows], new], 1)
+            s = np.einsum("rd,rcd->rc", self.f[rows], self.f[np.maximum(ids, 0)])
+            s[ids < 0] = -2
+            self.g[rows] = self.diverse(ids, s, 2 * self.m)
 
     def search(self, q, beam: int, n: int | None = None):
         """Beam search for all rows of q together: positions (-1 where none) and similarities."""
@@ -141,10 +164,15 @@ class Graph:
             top = np.argpartition(-every, beam - 1, 1)[:, :beam]
             sims[live], ids[live], open_[live] = (np.take_along_axis(a, top, 1) for a in (every, al, op))
 
-    def within(self, q: np.ndarray, low: float, beam: int):
-        """All (query, position) pairs found with cosine of at least ``low``, widening single beams."""
-        todo, found = np.arange(len(q)), []
-        while len(todo):
+    def sure(self, q: np.ndarray, a: np.ndarray, b: np.ndarray, low: float) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs whose cosine in double precision is at least ``low``; q has unit rows."""
+        ok = np.concatenate([np.zeros(0, bool), *(np.einsum("nd,nd->n", q[a[i : i + 65536]], self.raw[b[i : i + 65536]].astype(np.float64)) / self.norm[b[i : i + 65536]] >= low for i in range(0, len(a), 65536))])
+        return a[ok], b[ok]
+
+    def within(self, q: np.ndarray, low: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All (query, position) pairs found with cosine of at least ``low``, block by block, widening single beams."""
+        todo = np.arange(len(q))
+        while len(todo) and beam * 16 <= max(len(self.f), 1024):
             again = []
             step = max(1, min(1024, 8_000_000 // max(len(self.f), 1)))
             for i in range(0, len(todo), step):
@@ -153,23 +181,20 @@ class Graph:
                 full = (sims.min(1) >= low - 0.02) & (beam < len(self.f))
                 again.append(t[full])
                 r, c = np.nonzero((sims >= low - 1e-4) & (ids >= 0) & ~full[:, None])
-                a, b = t[r], self.order[ids[r, c]]
-                sure = np.einsum("nd,nd->n", q[a], self.x[b]) >= low - 1e-12
-                found.append(np.stack([a[sure], b[sure]], 1))
+                yield self.sure(q, t[r], self.order[ids[r, c]], low)
             todo, beam = np.concatenate(again), beam * 2
-        return np.concatenate(found) if found else np.zeros((0, 2), int)
-
-    def brute(self, q: np.ndarray, low: float) -> np.ndarray:
-        """All (query, position) pairs with cosine of at least ``low``, by blocked products."""
-        found = [np.zeros((0, 2), int)]
-        step = max(1, 8_000_000 // max(len(self.x), 1))
-        for i in range(0, len(q), step):
-            a, b = np.nonzero(q[i : i + step] @ self.x.T >= low - 1e-9)
-            sure = np.einsum("nd,nd->n", q[i + a], self.x[b]) >= low - 1e-12
-            found.append(np.stack([i + a[sure], b[sure]], 1))
-        return np.concatenate(found)
-
-    def links(self, q: np.ndarray, low: float, beam: int) -> np.ndarray:
+        yield from self.brute(q, low, todo)
+
+    def brute(self, q: np.ndarray, low: float, todo: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All such pairs of the queries ``todo``, by blocked products."""
+        todo = np.arange(len(q)) if todo is None else todo
+        step = max(1, 2_000_000 // max(len(self.f), 1))
+        for i in range(0, len(todo), step):
+            t = todo[i : i + step]
+            r, c = np.nonzero(q[t].astype(np.float32) @ self.f.T >= low - 1e-4)
+            yield self.sure(q, t[r], self.order[c], low)
+
+    def links(self, q: np.ndarray, low: float, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         return self.brute(q, low) if beam == BRUTE else self.within(q, low, beam)
 
     def audited(self, q: np.ndarray, own: np.ndarray, low: float, recall: float, beam: int = 32) -> int:
@@ -179,16 +204,16 @@ class Graph:
         with links must reach ``recall`` by itself, so that no large group hides a small one.
         """
 
-        def count(pairs):
-            return np.bincount(pairs[pairs[:, 1] != own[pairs[:, 0]], 0], minlength=len(q))
+        def count(blocks):
+            return sum((np.bincount(a[b != own[a]], minlength=len(q)) for a, b in blocks), np.zeros(len(q), int))
 
         want = count(self.brute(q, low))
         while True:
             if (count(self.within(q, low, beam)) >= recall * want).all():
                 return beam
-            if beam >= len(self.x):
-                return BRUTE
             beam *= 2
+            if beam * 16 > max(len(self.f), 1024):
+                return BRUTE
 
 
 def unit(rows) -> np.ndarray:
@@ -196,28 +221,31 @@ def unit(rows) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def labels_of(n: int, pairs: np.ndarray, names: np.ndarray) -> np.ndarray:
-    """The least name in each node's component of a shard."""
-    parent = list(range(n))
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels (positions) after the nodes a and b of each link come together under the least."""
+    x, y = label[a], label[b]
+    pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1)[x != y], axis=0)
+    if not len(pairs):
+        return label
+    up: dict[int, int] = {}
 
-    def root(a):
-        while parent[a] != a:
-            parent[a] = parent[parent[a]]
-            a = parent[a]
-        return a
+    def root(v):
+        while (w := up.get(v, v)) != v:
+            up[v] = up.get(w, w)
+            v = w
+        return v
 
-    for a, b in pairs:
-        a, b = root(a), root(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) for i in range(n)])
-    least = {}
-    for r, name in zip(roots, names):
-        least[r] = min(least.get(r, name), name)
-    return np.array([least[r] for r in roots], np.int64)
+    for v, w in pairs.tolist():
+        v, w = root(v), root(w)
+        if v != w:
+            up[max(v, w)] = min(v, w)
+    to = np.arange(len(label))
+    for v in list(up):
+        to[v] = root(v)
+    return to[label]
 
 
-def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096, block_rows: int = 8192, recall: float = 0.99) -> DataFrame:
+def near_duplicates(vectors: DataFrame, low: float = 0.9, shards: int = SHARDS, shard_rows: int = SHARD_ROWS, recall: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id, kept."""
 
     @F.pandas_udf("string")
@@ -228,11 +256,12 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096
 
         return pd.Series([one(v) for v in e], dtype="object")
 
-    keyed = cut(vectors.select("vec_id", "embedding").withColumn("g", key("embedding")))
-    reps = cut(keyed.where("g is not null").groupBy("g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.any_value("embedding").alias("e")).withColumn("dim", F.size("e")))
+    keyed = cut(vectors.select("vec_id", "embedding").withColumn("g", key("embedding")).withColumn("row", F.monotonically_increasing_id()))
+    reps = keyed.where("g is not null").groupBy("g").agg(F.min("row").alias("rep"), F.min("vec_id").alias("name"), F.count("*").alias("copies"), F.any_value("embedding").alias("e"))
+    reps = cut(reps.withColumn("dim", F.size("e")))
     n = reps.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // block_rows))
-    reps = reps.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int")).withColumn("block", F.pmod(F.xxhash64("g", F.lit(1)), F.lit(blocks)).cast("int"))
+    shards = max(1, -(-n // shard_rows), min(shards, n // SMALL))
+    reps = reps.withColumn("shard", F.pmod(F.xxhash64("g"), F.lit(shards)).cast("int"))
 
     picked = {}
     for r in reps.orderBy(F.xxhash64("g", F.lit(2)), "g").limit(4 * AUDIT).select("dim", "shard", "e").collect():
@@ -241,40 +270,50 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shard_rows: int = 4096
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
-        graph = Graph(unit(pdf["e"]))
+        graph, rep, copies = Graph(np.stack(pdf["e"])), pdf["rep"].to_numpy(), pdf["copies"].to_numpy()
+        q, place = unit(pdf["e"]), np.arange(len(pdf))
         pick = np.unique(np.linspace(0, len(pdf) - 1, AUDIT).astype(int))
         other = [e for shard, e in sample.value.get(int(pdf["dim"].iloc[0]), []) if shard != pdf["shard"].iloc[0]]
-        q = np.concatenate([graph.x[pick], unit(other)]) if other else graph.x[pick]
-        beam = graph.audited(q, np.concatenate([pick, np.full(len(other), -1)]), low, recall)
-        pairs = graph.links(graph.x, low, beam)
-        names = labels_of(len(pdf), pairs, pdf["rep"].to_numpy())
-        blob = pickle.dumps((graph, beam, names, pdf["rep"].to_numpy(), pdf["copies"].to_numpy()))
-        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blob": [blob]})
-
-    graphs = cut(reps.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, blob binary"))
+        asks = np.concatenate([q[pick], unit(other)]) if other else q[pick]
+        beam = graph.audited(asks, np.concatenate([pick, np.full(len(other), -1)]), low, recall)
+        links, label = np.zeros(len(pdf), np.int64), place
+        for a, b in graph.links(q, low, beam):
+            a, b = a[b < a], b[b < a]
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            label = merged(label, a, b)
+        names = rep[label]
+        blob = pickle.dumps((graph, beam, names, rep, copies))
+        return pd.DataFrame({"dim": [pdf["dim"].iloc[0]], "shard": [pdf["shard"].iloc[0]], "blob": [blob], "rep": [rep], "links": [links], "label": [names]})
+
+    graphs = cut(reps.groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, blob binary, rep array<long>, links array<long>, label array<long>"))
 
     def ask(q: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        out = {"rep": [], "links": [], "labels": []}
-        if len(q) and len(g):
-            graph, beam, names, reps_, copies = pickle.loads(g["blob"].iloc[0])
-            ids = q["rep"].to_numpy()
-            pairs = graph.links(unit(q["e"]), low, beam)
-            other = ids[pairs[:, 0]] != reps_[pairs[:, 1]]
-            links = np.zeros(len(q), np.int64)
-            np.add.at(links, pairs[other, 0], copies[pairs[other, 1]])
-            near = [set() for _ in ids]
-            for a, b in np.unique(np.stack([pairs[:, 0], names[pairs[:, 1]]], 1), axis=0):
-                near[a].add(b)
-            out = {"rep": ids, "links": links, "labels": [sorted(s) for s in near]}
-        return pd.DataFrame({"rep": out["rep"], "links": out["links"], "labels": pd.Series(out["labels"], dtype="object")})
-
-    asked = reps.select("rep", "e", "dim", "block", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    stored = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    hits = cut(asked.groupBy("dim", "shard", "block").cogroup(stored.groupBy("dim", "shard", "block")).applyInPandas(ask, "rep long, links long, labels array<long>"))
-    links = hits.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(hits.select(F.col("rep").alias("a"), F.explode("labels").alias("b"))).withColumnRenamed("id", "rep")
-    per = reps.select("g", "rep", "copies").join(links, "rep", "left").join(comp, "rep", "left")
-    per = per.select("g", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
-    out = keyed.select("vec_id", "g").join(per, "g", "left")
-    cid = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), (F.col("vec_id") == cid).alias("kept"))
+        if not len(q) or not len(g):
+            return pd.DataFrame({"rep": [], "links": [], "labels": pd.Series([], dtype="object")})
+        graph, beam, names, rep, copies = pickle.loads(g["blob"].iloc[0])
+        ids, times = q["rep"].to_numpy(), q["copies"].to_numpy()
+        mine, theirs, near = np.zeros(len(ids), np.int64), np.zeros(len(rep), np.int64), [[] for _ in ids]
+        for a, b in graph.links(unit(q["e"]), low, beam):
+            np.add.at(mine, a, copies[b])
+            np.add.at(theirs, b, times[a])
+            for i, name in np.unique(np.stack([a, names[b]], 1), axis=0).tolist():
+                near[i].append(name)
+        met = np.flatnonzero(theirs)
+        return pd.DataFrame({"rep": np.concatenate([ids, rep[met]]), "links": np.concatenate([mine, theirs[met]]), "labels": pd.Series([*near, *([] for _ in met)], dtype="object")})
+
+    earlier = F.when(F.col("later") > 0, F.sequence(F.lit(0), F.col("later") - 1)).otherwise(F.array().cast("array<int>"))
+    asked = reps.select("rep", "e", "copies", "dim", F.col("shard").alias("later")).select("*", F.explode(earlier).alias("shard"))
+    ahead = F.when(F.col("shard") < shards - 1, F.sequence(F.col("shard") + 1, F.lit(shards - 1))).otherwise(F.array().cast("array<int>"))
+    stored = graphs.select("dim", "shard", "blob", F.explode(ahead).alias("later"))
+    hits = cut(asked.groupBy("dim", "shard", "later").cogroup(stored.groupBy("dim", "shard", "later")).applyInPandas(ask, "rep long, links long, labels array<long>"))
+    within = graphs.select(F.explode(F.arrays_zip("rep", "links", "label")).alias("z")).select("z.rep", "z.links", "z.label")
+    links = hits.select("rep", "links").unionByName(within.select("rep", "links")).groupBy("rep").agg(F.sum("links").alias("links"))
+    edges = hits.select(F.col("rep").alias("a"), F.explode("labels").alias("b")).unionByName(within.select(F.col("rep").alias("a"), F.col("label").alias("b")))
+    comp = components(edges).withColumnRenamed("id", "rep")
+    named = cut(reps.select("g", "rep", "name", "copies").join(links, "rep", "left").join(comp, "rep", "left").withColumn("c", F.coalesce("component_id", "rep")))
+    least = named.groupBy("c").agg(F.min("name").alias("least"))
+    per = named.select("g", "c", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")).join(least, "c")
+    out = keyed.select("vec_id", "g").join(per.select("g", "n_links", "least"), "g", "left")
+    cid = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(False)).alias("kept"))

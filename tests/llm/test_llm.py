@@ -85,13 +85,15 @@ def test_embeddings_are_brute_force(spark):
     r = np.random.default_rng(1)
     rows = [list(map(float, c + r.normal(0, 0.12, 16))) for c in r.normal(0, 1, (40, 16)) for _ in range(r.integers(1, 30))]
     rows += [rows[0], rows[0], None, [0.0] * 16, [float("nan")] * 16, [1.0] * 3]
-    got = {x["vec_id"]: x for x in embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), shard_rows=150, block_rows=200).collect()}
+    got = {x["vec_id"]: x for x in embed_dedup.near_duplicates(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>"), shard_rows=150).collect()}
     ok = [i for i, v in enumerate(rows) if v and len(v) == 16 and np.isfinite(v).all() and any(v)]
     x = embed_dedup.unit([rows[i] for i in ok])
     pairs = [(ok[a], ok[b]) for a, b in np.argwhere(x @ x.T >= 0.9) if a != b]
     want = np.zeros(len(rows), int)
     for a, _ in pairs:
         want[a] += 1
+    copies = {0: 2, len(rows) - 6: 2, len(rows) - 5: 2}  # the same vector three times
+    assert all(got[i]["n_links"] >= k for i, k in copies.items())
     assert sum(got[i]["n_links"] for i in range(len(rows))) >= 0.99 * want.sum()
     assert all(got[i]["n_links"] <= want[i] for i in range(len(rows)))
     same = np.mean([got[i]["component_id"] == c for i, c in enumerate(union(len(rows), pairs))])
@@ -102,15 +104,34 @@ def test_embedding_audit_is_per_query():
     r = np.random.default_rng(3)
     big, rest = r.normal(0, 1, 16), r.normal(0, 1, (300, 16))
     rows = np.concatenate([big + r.normal(0, 0.02, (300, 16)), rest, rest[:20] + r.normal(0, 0.01, (20, 16))])
-    g = embed_dedup.Graph(embed_dedup.unit(rows))
-    q, own = g.x, np.arange(len(g.x))
-    exact = g.brute(q, 0.9)
-    assert {tuple(p) for p in exact} == {tuple(p) for p in np.argwhere(g.x @ g.x.T >= 0.9)}
+    g, x = embed_dedup.Graph(rows), embed_dedup.unit(rows)
+    own = np.arange(len(x))
+
+    def pairs(blocks):
+        return np.concatenate([np.stack(p, 1) for p in blocks])
+
+    exact = pairs(g.brute(x, 0.9))
+    assert {tuple(p) for p in exact} == {tuple(p) for p in np.argwhere(x @ x.T >= 0.9)}
     # Without links in the graph no beam reaches the small groups, though most pairs may be found.
-    g.within = lambda q, low, beam: exact[(exact[:, 0] < 300) | (exact[:, 0] == exact[:, 1])]
-    assert len(g.within(q, 0.9, 32)) >= 0.99 * len(exact)
-    assert g.audited(q, own, 0.9, 0.99) == embed_dedup.BRUTE
-    assert len(g.links(q, 0.9, embed_dedup.BRUTE)) == len(exact)
+    most = exact[(exact[:, 0] < 300) | (exact[:, 0] == exact[:, 1])]
+    g.within = lambda q, low, beam: [tuple(most.T)]
+    assert len(most) >= 0.99 * len(exact)
+    assert g.audited(x, own, 0.9, 0.99) == embed_dedup.BRUTE
+    assert len(pairs(g.links(x, 0.9, embed_dedup.BRUTE))) == len(exact)
+
+
+def test_embedding_ids_and_symmetry(spark):
+    r = np.random.default_rng(8)
+    hub = r.normal(0, 1, 8)
+    rows = [list(map(float, hub + r.normal(0, 0.05, 8))) for _ in range(700)] + [list(map(float, v)) for v in r.normal(0, 1, (500, 8))]
+    ids = [None if i in (3, 1100) else 5 if i in (5, 6) else i for i in range(len(rows))]
+    d = spark.createDataFrame([(i, e, "x", 1) for i, e in zip(ids, rows)], "vec_id long, embedding array<double>, g string, rep int")
+    got = embed_dedup.near_duplicates(d, shard_rows=400).collect()
+    x = embed_dedup.unit(rows)
+    want = (x @ x.T >= 0.9).sum(1) - 1
+    assert sorted((r["vec_id"] or -1, r["n_links"]) for r in got) == sorted((i or -1, int(n)) for i, n in zip(ids, want))
+    assert sum(r["n_links"] for r in got) % 2 == 0 and [r["kept"] for r in got if r["vec_id"] is None] == [False, False]
+    assert embed_dedup.near_duplicates(d.where("false")).count() == 0
 
 
 def test_language_held_out(spark):
