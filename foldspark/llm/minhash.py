@@ -146,8 +146,10 @@ def sketches(flat: np.ndarray, n: np.ndarray, t: int) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, carry: list[str], k: int, t: int, rows: int) -> DataFrame:
-    """``doc`` (a struct of the columns ``carry``), the set's size and bytes ``s``, ``g``, a 128-bit digest
-    of the set (null for an empty one), ``keys``, one 64-bit key for each band of its sketch, and ``row``."""
+    """``doc`` (a struct of the columns ``carry``), ``text``, the set's size, ``g``, a 128-bit digest of the
+    set (null for an empty one), ``keys``, one 64-bit key for each band of its sketch, and ``row``.
+
+    Sets are not kept: only texts that share a band need theirs again, and texts compress better."""
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bands = Hashes(), range(0, t - rows + 1, rows)
@@ -163,13 +165,12 @@ def shingled(docs: DataFrame, carry: list[str], k: int, t: int, rows: int) -> Da
                         for c in range(j, j + rows):
                             keys[:, b] = scramble(keys[:, b] * MIX + v[:, c])
                 offsets = np.concatenate([[0], np.cumsum(n > 0) * len(bands)])
-                s = [flat[e - m : e].tobytes() for e, m in zip(ends.tolist(), n.tolist())]
-                g = [xxhash.xxh128_digest(x) if x else None for x in s]
+                g = [xxhash.xxh128_digest(flat[e - m : e].tobytes()) if m else None for e, m in zip(ends.tolist(), n.tolist())]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(s, pa.binary()), pa.array(g, pa.binary()), lists], names=["doc", "size", "s", "g", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), text, pa.array(n), pa.array(g, pa.binary()), lists], names=["doc", "text", "size", "g", "keys"])
 
     given = docs.select(F.struct(*[docs[c] for c in carry]).alias("doc"), docs["text"].cast("string").alias("text"))
-    kind = StructType([given.schema["doc"], StructField("size", LongType()), StructField("s", BinaryType()), StructField("g", BinaryType()), StructField("keys", ArrayType(LongType()))])
+    kind = StructType([given.schema["doc"], given.schema["text"], StructField("size", LongType()), StructField("g", BinaryType()), StructField("keys", ArrayType(LongType()))])
     return given.mapInArrow(one, kind).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -212,14 +213,20 @@ def settle(keys: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray
     return label
 
 
-def settled(percent: int):
-    """mapInArrow over rows (cluster, row, keys, s) ordered by cluster: links (a, b) to the first member."""
+def sets_of(texts: list[str | None], k: int, known: Hashes) -> list[np.ndarray]:
+    flat, n = shingle_sets(texts, k, known)
+    return np.split(flat, np.cumsum(n)[:-1]) if len(n) else []
+
+
+def settled(percent: int, k: int):
+    """mapInArrow over rows (cluster, row, keys, text) ordered by cluster: links (a, b) to the first member."""
+    known = Hashes()
 
     def solve(held: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
         t = pa.Table.from_batches(held).combine_chunks()
         rows = t["row"].to_numpy()
         keys = pc.list_flatten(t["keys"]).to_numpy().reshape(len(rows), -1)
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["s"]]
+        sets = sets_of(t["text"].to_pylist(), k, known)
         label = settle(keys, sets, percent)
         far = np.flatnonzero(label != np.arange(len(label)))
         return rows[label[far]], rows[far]
@@ -263,6 +270,19 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "sa", "sb").mapInArrow(one, "a long, b long")
 
 
+def stored_sets(texts: DataFrame, k: int) -> DataFrame:
+    """row and the bytes of its set, ``s``."""
+
+    def one(batches):
+        known = Hashes()
+        for batch in batches:
+            for part, text in slices(batch, batch.column(1)):
+                sets = [s.tobytes() for s in sets_of(text.to_pylist(), k, known)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["row", "s"])
+
+    return texts.select("row", "text").mapInArrow(one, "row long, s binary")
+
+
 def in_rounds(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect the members of large clusters; ``many`` has (bucket, row, size, n)."""
     score = many.groupBy("row").agg(F.sum("n").alias("score"))
@@ -292,9 +312,9 @@ def in_rounds(many: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         drop(*old)
 
 
-def links_of(base: DataFrame, reps: DataFrame, percent: int, members: int, shingles: int) -> DataFrame:
+def links_of(base: DataFrame, reps: DataFrame, percent: int, k: int, members: int, shingles: int) -> DataFrame:
     """Links (a, b) between representatives' rows that span each component."""
-    buckets = base.select("row", "size", "keys").join(reps.select("row"), "row").select("row", "size", F.explode("keys").alias("bucket"))
+    buckets = base.select("row", "size", "keys").join(small(reps.select("row"), reps.count()), "row").select("row", "size", F.explode("keys").alias("bucket"))
     sized = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min("row").alias("low")).where("n > 1")
     member = cut(buckets.join(sized, "bucket"))
     cluster = components(member.select(F.col("low").alias("a"), F.col("row").alias("b")).where("a <> b").distinct()).withColumnsRenamed({"id": "row", "component_id": "cluster"})
@@ -303,12 +323,12 @@ def links_of(base: DataFrame, reps: DataFrame, percent: int, members: int, shing
     large = cut(stats.where("many or wide").select("cluster"))
     n_large = large.count()
     few = cut(who.join(small(large, n_large), "cluster", "left_anti"))
-    wanted = base.select("row", "keys", "s").join(small(few.select("row", "cluster"), few.count()), "row")
-    ordered = wanted.repartition("cluster").sortWithinPartitions("cluster", "row").select("cluster", "row", "keys", "s")
-    links = cut(ordered.mapInArrow(settled(percent), "a long, b long"))
+    wanted = base.select("row", "keys", "text").join(small(few.select("row", "cluster"), few.count()), "row")
+    ordered = wanted.repartition("cluster").sortWithinPartitions("cluster", "row").select("cluster", "row", "keys", "text")
+    links = cut(ordered.mapInArrow(settled(percent, k), "a long, b long"))
     if n_large:
         big = cut(who.join(small(large, n_large), "cluster", "left_semi").select("row"))
-        sets = cut(base.select("row", "s").join(small(big, big.count()), "row", "left_semi"))
+        sets = cut(stored_sets(base.select("row", "text").join(small(big, big.count()), "row", "left_semi"), k))
         found = in_rounds(member.join(big, "row", "left_semi").select("bucket", "row", "size", "n"), sets, percent)
         links, old = cut(links.unionByName(found)), links
         drop(big, sets, found, old)
@@ -316,35 +336,40 @@ def links_of(base: DataFrame, reps: DataFrame, percent: int, members: int, shing
     return links
 
 
-def grouped(docs: DataFrame, carry: list[str], percent: int = 80, k: int = 5, t: int = 128, rows: int = 5, members: int = MEMBERS, shingles: int = SHINGLES) -> DataFrame:
-    """Per row of ``docs``: ``doc`` (a struct of the columns ``carry``, doc_id first), ``size`` of its set,
-    ``component_id`` and ``first``, true for exactly one row of each group: among the rows of its least
-    doc_id, the first in the input's order (null ids come last)."""
+def grouped(docs: DataFrame, carry: list[str], percent: int = 80, k: int = 5, t: int = 128, rows: int = 5, members: int = MEMBERS, shingles: int = SHINGLES) -> tuple[DataFrame, DataFrame]:
+    """Per row of ``docs`` its ``row``, doc_id, ``size`` of its set, component_id and ``first``, true for
+    exactly one row of each group: among the rows of its least doc_id, the first in the input's order (null
+    ids come last); and, by ``row``, ``doc`` (a struct of the columns ``carry``, doc_id first) and ``text``."""
     base = cut(shingled(docs, carry, k, t, rows))
     ident = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("id"), F.col("row").alias("row"))
     reps = cut(base.where("g is not null").groupBy("g").agg(F.min("row").alias("row"), F.min(ident).alias("lead")))
-    links = links_of(base, reps, percent, members, shingles)
+    links = links_of(base, reps, percent, k, members, shingles)
     comp = cut(components(links).withColumnRenamed("id", "row"))
     named = reps.join(comp, "row", "left").withColumn("c", F.coalesce("component_id", "row")).select("g", "c", "lead")
     lead = named.groupBy("c").agg(F.min("lead").alias("lead"))
-    per = cut(named.select("g", "c").join(lead, "c").select("g", "lead"))
-    out = base.select("doc", "size", "row", "g").join(per, "g", "left")
+    per = named.select("g", "c").join(lead, "c").select("g", F.col("lead.id").alias("id"), F.col("lead.row").alias("lead"))
+    out = base.select("row", "doc.doc_id", "size", "g").join(per, "g", "left")
     # Empty sets have no digest: each is a group of its own.
-    first = F.when(F.col("lead").isNull(), True).otherwise(F.col("lead.row") == F.col("row"))
-    cid = F.when(F.col("lead").isNull(), F.col("doc.doc_id")).otherwise(F.col("lead.id"))
-    out = cut(out.select("doc", "size", cid.alias("component_id"), first.alias("first")))
-    drop(base, reps, links, comp, per)
-    return out
+    first = F.when(F.col("lead").isNull(), True).otherwise(F.col("lead") == F.col("row"))
+    cid = F.when(F.col("lead").isNull(), F.col("doc_id")).otherwise(F.col("id"))
+    out = cut(out.select("row", "doc_id", "size", cid.alias("component_id"), first.alias("first")))
+    drop(reps, links, comp)
+    return out, base
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
     """doc_id, n_shingles, component_id, kept (doc_id = component_id; false for a null doc_id)."""
-    found = grouped(docs, ["doc_id"], percent, **how)
-    same = F.coalesce(F.col("doc.doc_id") == F.col("component_id"), F.lit(False))
-    return found.select("doc.doc_id", F.col("size").alias("n_shingles"), "component_id", same.alias("kept"))
+    found, base = grouped(docs, ["doc_id"], percent, **how)
+    drop(base)
+    same = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
+    return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id", same.alias("kept"))
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
-    """The rows of ``docs``, one for each group of near duplicates, with all columns as they are."""
-    found = grouped(docs, ["doc_id", *[c for c in docs.columns if c != "doc_id"]], percent, **how)
-    return found.where("first").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+    """The rows of ``docs``, one for each group of near duplicates, with all columns as they are.
+
+    The rows that go are looked up by row; no text is shuffled while their ids can be broadcast."""
+    found, base = grouped(docs, ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text")]], percent, **how)
+    gone = cut(found.where(~F.col("first")).select("row"))
+    left = base.select("row", "doc", "text").join(small(gone, gone.count()), "row", "left_anti")
+    return left.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
