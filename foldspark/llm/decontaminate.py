@@ -8,8 +8,13 @@ offset demands. What is left is compared word for word with the stored words, so
 exact and no text is shuffled. Lists go by ``lower``, which folds more than A-Z but keeps every
 word's place; the comparison folds A-Z only.
 
-Null and empty texts have no words and no hits; repeated items count under each of their ids;
-repeated document ids are told apart by their text, and null ids are kept.
+Null and empty texts have no words and no hits; repeated items count under each of their ids, items
+without an id count as none; repeated document ids are told apart by their text, and null ids are kept.
+Extra columns, whatever their names, don't matter; without documents or items nothing is found.
+
+Tables made from the benchmark are broadcast up to BROADCAST_ROWS counted rows. Beyond it words are
+counted before they meet the benchmark's, and postings are found without the words around them, which
+are fetched from each document once; adaptive execution splits the lists of frequent terms.
 """
 
 from pyspark.sql import DataFrame
@@ -53,9 +58,12 @@ def rarest(win: DataFrame, docs: DataFrame, depth: int, vocab_rows: int) -> Data
     Windows holding a term that no document has cannot occur and are left out.
     """
     terms = win.select("window_id", F.posexplode("words").alias("offset", "term")).withColumn("term", F.lower("term"))
-    vocabulary = small(terms.select("term").distinct(), vocab_rows)
+    vocabulary = terms.select("term").distinct()
     corpus = keyed(docs).select(F.explode("w").alias("term")).select(F.lower("term").alias("term"))
-    freq = corpus.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("tf"))
+    if vocab_rows <= BROADCAST_ROWS:
+        corpus = corpus.join(F.broadcast(vocabulary), "term", "left_semi")
+    freq = corpus.groupBy("term").agg(F.count("*").alias("tf"))
+    freq = cut(freq.join(vocabulary, "term", "left_semi"))
     first = terms.groupBy("window_id", "term").agg(F.min("offset").alias("offset")).join(small(freq, vocab_rows), "term", "left")
     lists = first.groupBy("window_id").agg(F.sort_array(F.collect_list(F.struct("tf", "term", "offset"))).alias("lists"))
     return lists.where(F.col("lists")[0]["tf"].isNotNull()).select("window_id", F.slice("lists", 1, depth).alias("lists"))
@@ -68,12 +76,19 @@ def occurrences(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 2,
     """
     win = cut(windows(items, n))
     count = win.count()
-    lists = cut(rarest(win, docs, depth, count * n))
-    terms = lists.select(F.posexplode("lists").alias("k", "x")).groupBy(F.col("x.term").alias("listed")).agg((F.min("k") == 0).alias("anchor"))
-    every = keyed(docs).select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
-    held = every.join(small(terms, count * depth), F.lower("word") == F.col("listed"))
+    vocab_rows = win.select(F.explode("words").alias("word")).distinct().count()
+    lists = cut(rarest(win, docs, depth, vocab_rows))
+    terms = cut(lists.select(F.posexplode("lists").alias("k", "x")).groupBy(F.col("x.term").alias("listed")).agg((F.min("k") == 0).alias("anchor")))
+    rows = keyed(docs)
     low = F.greatest(F.col("pos") - (n - 1), F.lit(0))
     around = F.when(F.col("anchor"), F.slice("w", low + 1, F.col("pos") - low + n))
+    if terms.count() <= BROADCAST_ROWS:
+        every = rows.select("doc_id", "h", "w", F.posexplode("w").alias("pos", "word"))
+        held = every.join(F.broadcast(terms), F.lower("word") == F.col("listed"))
+    else:
+        every = rows.select("doc_id", "h", F.posexplode("w").alias("pos", "word")).withColumn("word", F.lower("word"))
+        met = every.join(terms, F.col("word") == F.col("listed")).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_set(F.struct("pos", "listed", "anchor")).alias("at"))
+        held = rows.dropDuplicates(["doc_id", "h"]).join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("doc_id", "h", "w", F.inline("at"))
     index = cut(held.select("doc_id", "h", F.col("listed").alias("term"), "pos", around.alias("around")))
     plan = lists.select("window_id", "lists", F.col("lists")[0]["term"].alias("term"), F.col("lists")[0]["offset"].alias("offset"))
     at = index.where("around is not null").join(small(plan, count), "term").withColumn("start", F.col("pos") - F.col("offset")).where("start >= 0")
@@ -110,6 +125,15 @@ def proximity(docs: DataFrame, items: DataFrame, n: int = 10, depth: int = 3, sl
     return at.join(small(win, count), "window_id").select("doc_id", "start", "items").distinct()
 
 
+def clean(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
+    """The rows of ``docs`` that hold no window, with all columns as they are. Null doc_ids are rows like
+    others; rows of equal doc_id and text go or stay together."""
+    bad = cut(found(docs, items, n).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct())
+    left = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs["doc_id"].alias("_i"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_k"))
+    left = left.join(small(bad, bad.count()), F.col("_i").eqNullSafe(F.col("_d")) & (F.col("_k") == F.col("_h")), "left_anti")
+    return left.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
 def report(docs: DataFrame, items: DataFrame, n: int = 10) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items_sha256, contaminated."""
     hit = found(docs, items, n).groupBy("doc_id", "h").agg(
