@@ -1,9 +1,12 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
 Trained by backpropagation through time on at most ``sample`` labelled windows (a documented
-bound); every byte of every whole text is labelled, in segments of ``SEGMENT`` bytes, and the
-position probabilities are averaged. Null texts and texts without a letter are ``und``, score 0;
-without labelled rows every text is ``und``. Ties go to the first language by code point.
+bound); every byte of every whole text is labelled and the position probabilities are averaged. A
+text is labelled in segments of ``SEGMENT`` bytes; before each, both directions read ``LEAD`` bytes of
+the neighbouring segment, so that they know what stands around it. Null texts and texts without a
+letter are ``und``, score 0; without labelled rows every text is ``und``. Ties go to the first language
+by code point. Null and repeated doc_ids are rows like others; extra columns, whatever their names,
+don't matter; an empty table gives an empty result.
 """
 
 import numpy as np
@@ -14,6 +17,8 @@ from pyspark.sql import functions as F
 from foldspark.llm.common import fold
 
 SEGMENT = 64
+#: Bytes of the neighbouring segments that lead into a segment from either side.
+LEAD = 12
 
 
 def sigmoid(x):
@@ -63,10 +68,12 @@ def back(u, x, gates, dhs, dtable, du):
         dh = dh * z + da @ u.T
 
 
-def probabilities(p, x):
-    f, _ = run(p["Tf"], p["Uf"], x, False)
-    b, _ = run(p["Tb"], p["Ub"], x[::-1], False)
-    o = f @ p["Vf"] + b[::-1] @ p["Vb"] + p["c"]
+def probabilities(p, x, lead: int = 0):
+    """Class probabilities of each position of the byte columns x [T, B], but for ``lead`` rows at either end."""
+    n = len(x) - 2 * lead
+    f, _ = run(p["Tf"], p["Uf"], x[: lead + n], False)
+    b, _ = run(p["Tb"], p["Ub"], x[lead:][::-1], False)
+    o = f[lead:] @ p["Vf"] + b[lead:][::-1] @ p["Vb"] + p["c"]
     o = np.exp(o - o.max(-1, keepdims=True))
     return o / o.sum(-1, keepdims=True)
 
@@ -105,6 +112,12 @@ def segments(data: bytes) -> np.ndarray:
     return a.reshape(-1, SEGMENT)
 
 
+def with_lead(rows: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Segments with the LEAD bytes that stand before and after each, columns as ``probabilities`` takes them."""
+    x = np.concatenate([before, rows.ravel(), after])
+    return np.lib.stride_tricks.as_strided(x, (len(rows), SEGMENT + 2 * LEAD), (SEGMENT, 1))
+
+
 def pooled(p: dict, texts: list[str], block: int = 2048) -> np.ndarray:
     """Mean position probabilities of each text; memory is bounded by ``block`` segments."""
     k = len(p["c"])
@@ -114,14 +127,15 @@ def pooled(p: dict, texts: list[str], block: int = 2048) -> np.ndarray:
     def flush():
         if held:
             x, o = np.concatenate(held), np.concatenate(owner)
-            np.add.at(out, o, probabilities(p, x.T).sum(0))
+            np.add.at(out, o, probabilities(p, x.T, LEAD).sum(0))
 
     for i, t in enumerate(texts):
         s = segments(t.encode("utf-8", "replace"))
         sizes[i] = s.size
+        edge = np.full(LEAD, 32, np.uint8)
         for j in range(0, len(s), block):
             part = s[j : j + block]
-            held.append(part)
+            held.append(with_lead(part, s[j - 1][-LEAD:] if j else edge, s[j + block][:LEAD] if j + block < len(s) else edge))
             owner.append(np.full(len(part), i))
             have += len(part)
             if have >= block:
@@ -132,10 +146,16 @@ def pooled(p: dict, texts: list[str], block: int = 2048) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = 2000, width: int = 512):
-    """Languages and network from at most ``sample`` rows with a lang outside fold 0 of 5."""
+    """Languages and network from at most ``sample`` rows with a lang outside fold 0 of 5, of each a window
+    of ``width`` characters that begins at a place drawn evenly by hash."""
     rows = docs.where((fold(F.col("doc_id"), 5) != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    at = F.greatest(F.lit(1), (F.crc32(F.concat(F.lit("w"), F.col("doc_id").cast("string")).cast("binary")) % F.length("text")) - width)
-    got = rows.select("lang", F.substring(F.col("text"), at.cast("int"), F.lit(width)).alias("t"), F.md5(F.col("doc_id").cast("string").cast("binary")).alias("o")).orderBy("o", "lang", "t").limit(sample).collect()
+    mark = F.col("doc_id").cast("string")
+    # A share of the rows by hash, half as many again as are taken, so that no task sends more than its part.
+    drawn = F.pmod(F.xxhash64(mark, F.lit("drawn")), F.lit(1_000_003))
+    rows = rows.where(drawn < 1_000_003 * min(1.0, 1.5 * sample / max(1, rows.count())))
+    room = F.greatest(F.length("text") - width + 1, F.lit(1))
+    at = 1 + F.crc32(F.concat(F.lit("w"), mark).cast("binary")) % room
+    got = rows.select("lang", F.substring(F.col("text"), at.cast("int"), F.lit(width)).alias("t"), F.md5(mark.cast("binary")).alias("o")).orderBy("o", "lang", "t").limit(sample).collect()
     langs = sorted({r["lang"] for r in got})
     x = [segments(r["t"].encode("utf-8", "replace")) for r in got]
     y = [np.full(len(s), langs.index(r["lang"])) for s, r in zip(x, got)]
@@ -143,7 +163,18 @@ def fit(docs: DataFrame, sample: int = 2000, width: int = 512):
 
 
 def predict(docs: DataFrame, model=None) -> DataFrame:
-    """The documents with lang_pred and score added."""
+    """The documents with lang_pred and score, which take the place of columns of these names."""
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return labelled(docs, model).select(*[F.col("doc").getField(c).alias(c) for c in names], F.col("found.lang_pred").alias("lang_pred"), F.col("found.score").alias("score"))
+
+
+def kept(docs: DataFrame, model=None) -> DataFrame:
+    """The documents with a predicted language, with all columns as they are; ``und`` is rejected."""
+    return labelled(docs, model).where("found.lang_pred <> 'und'").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+def labelled(docs: DataFrame, model=None) -> DataFrame:
+    """``doc``, a struct of all columns, and ``found``, a struct of lang_pred and score."""
     langs, p = model or fit(docs)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
@@ -155,4 +186,4 @@ def predict(docs: DataFrame, model=None) -> DataFrame:
             lang[i], score[i] = langs[int(np.argmax(q))], min(1.0, round(float(q.max()), 6))
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
-    return docs.withColumn("_l", label("text")).select(*docs.columns, F.col("_l.lang_pred"), F.col("_l.score"))
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), label(docs["text"]).alias("found"))
