@@ -3,10 +3,13 @@
 A trie of the vocabulary with failure links; popped[v] is the number of tokens given up when
 following the link of v. Each word, with a leading space, is walked once, byte by byte, and only
 counts are kept. A word that no sequence of pieces covers counts as one unknown token. Null and
-empty texts have no words.
+empty texts have no words. Repeated rows and doc_ids, null ones too, are counted one by one; texts of
+any length are read whole; extra columns, whatever their names, don't matter; an empty table gives an
+empty result.
 """
 
 import base64
+import hashlib
 import re
 from collections import Counter
 
@@ -69,13 +72,17 @@ class Automaton:
 
 def count(docs: DataFrame, path: str = VOCABULARY, cache: int = 200_000) -> DataFrame:
     """doc_id, n_words, n_tokens; ``path`` is read on the driver and its pieces broadcast (one vocabulary)."""
-    pieces = docs.sparkSession.sparkContext.broadcast(load(path))
+    read = load(path)
+    # The content, not the path, names what a worker keeps between batches.
+    mark = hashlib.sha256(b"".join(len(x).to_bytes(4, "big") + x for x in read)).hexdigest()
+    pieces = docs.sparkSession.sparkContext.broadcast(read)
 
     @F.pandas_udf("struct<n_words:bigint,n_tokens:bigint>")
     def counts(text: pd.Series) -> pd.DataFrame:
-        if path not in _built:
-            _built[path] = (Automaton(pieces.value), {})
-        auto, known = _built[path]
+        if mark not in _built:
+            _built.clear()
+            _built[mark] = (Automaton(pieces.value), {})
+        auto, known = _built[mark]
         rows = []
         for t in text:
             words = Counter(WORD.findall(t or ""))
