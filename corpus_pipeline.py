@@ -1,29 +1,24 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, personal data, mixing."""
 
-import uuid
-
-from pyspark.sql import functions as F
-
 from foldspark.llm import decontaminate, langid, minhash, mix, pii
+from foldspark.llm.common import cut, drop
 from foldspark.sources.tables import table
 
 
 def language(spark, docs, sf_dir):
-    """Keeps documents with a predicted language (``und`` is rejected)."""
-    return langid.predict(docs).where("lang_pred <> 'und'").select(*docs.columns)
+    """Keeps documents with a predicted language; null texts and texts without a letter have none."""
+    return langid.kept(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
     """Keeps one document of each near-duplicate group, linked from a similarity of 0.8 on five-word
-    shingles; repeated rows of a kept id count once."""
-    kept = minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    shingles: the first row of the group's least doc_id. Rows of equal id and unlike texts all stay."""
+    return minhash.one_of_each(docs, percent=80)
 
 
 def decontamination(spark, docs, sf_dir):
     """Drops documents that hold a benchmark window."""
-    bad = decontaminate.found(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti")
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark, docs, sf_dir):
@@ -43,12 +38,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Each stage is written as Parquet in the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    at = f"{root.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{at}/{i}")
-        docs = spark.read.schema(out.schema).parquet(f"{at}/{i}")
+    """Each stage is written as Parquet in the shared folder and reread; what the next stage has read goes."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
