@@ -14,11 +14,12 @@ Words with at least N / HOT tokens number at most HOT; they are broadcast. All o
 per document and meet their corpus counts in a shuffle join by word.
 """
 
+import math
 import pickle
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldspark.llm.common import ascii_lower, cut, fold, words
+from foldspark.llm.common import cut, fold
 
-HOT = 20_000
+HOT = 200_000
 LEAF = 8
-TOKEN = re.compile(r"[^\x20\x09-\x0D]+")
 END = 0  # class of the end token; also the context before a text
 
 
@@ -39,8 +39,28 @@ END = 0  # class of the end token; also the context before a text
 LOCAL = pa.schema([("n", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
 
 
+#: Distinct words that a task counts before it hands its counts on.
+COUNTED = 200_000
+
+
 def corpus_counts(train: DataFrame) -> DataFrame:
-    return train.select(F.explode(words(ascii_lower(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("c"))
+    """word and its number of tokens: counted in each task first, then summed by word."""
+
+    def one(batches):
+        held: Counter = Counter()
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in held], pa.string()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+
+        for batch in batches:
+            for t in batch.column(0):
+                held.update(tokens(t.as_py()))
+                if len(held) > COUNTED:
+                    yield out()
+                    held.clear()
+        yield out()
+
+    return train.select("text").mapInArrow(one, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -50,21 +70,21 @@ def scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 
 class Codes(dict):
-    """A word's code: its class, or for a rare word the class "rare" plus its leaf."""
+    """A word's code: its class, or for a rare word the class "rare" plus its leaf. Words are bytes."""
 
     def __init__(self, ids: dict[str, int], rare: int, leaves: int):
-        super().__init__(ids)
-        self.ids, self.rare, self.leaves = ids, rare, leaves
+        self.ids, self.rare, self.leaves = {w.encode(): i for w, i in ids.items()}, rare, leaves
+        super().__init__(self.ids)
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > len(self.ids) + 200_000:
             self.clear()
             self.update(self.ids)
-        code = self[word] = self.rare + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.leaves
+        code = self[word] = self.rare + zlib.crc32(word) % self.leaves
         return code
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.array([*map(self.__getitem__, words), END])
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(chain(map(self.__getitem__, words), (END,)), np.int64, len(words) + 1)
 
 
 class Shape:
@@ -72,11 +92,11 @@ class Shape:
 
     def __init__(self, freq: np.ndarray, mass: np.ndarray):
         self.k, self.q = len(freq), (freq + 1.0) / (freq + 1.0).sum()
-        self.cdf = np.cumsum(self.q)[:-1]
+        self.cdf, self.lq = np.cumsum(self.q)[:-1], np.log(self.q).astype(np.float32)
         self.base = b = round(len(mass) ** (1 / 3))
         m = mass.reshape(b, b, b).astype(np.float64)
         # Biases of a digit by the digits before: at the start, leaves have their corpus shares.
-        self.bias = [np.log(x / x.sum(-1, keepdims=True)).reshape(-1, b) for x in (m.sum((1, 2)), m.sum(2), m)]
+        self.bias = [np.log(x / x.sum(-1, keepdims=True)).reshape(-1, b).astype(np.float32) for x in (m.sum((1, 2)), m.sum(2), m)]
         self.rows = self.k + 3 * b
         self.mass_log = np.log10(mass)
 
@@ -101,7 +121,16 @@ class Shape:
 def start(shape: Shape, dim: int = 16) -> dict[str, np.ndarray]:
     """The parameters that every trainer starts from: embeddings, context matrices and biases."""
     r = np.random.default_rng(5)
-    return {"R": r.normal(0, 0.1, (shape.rows, dim)), "E": r.normal(0, 0.1, (shape.rows, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log(shape.q)}
+    p = {"R": r.normal(0, 0.1, (shape.rows, dim)), "E": r.normal(0, 0.1, (shape.rows, dim)), "C": r.normal(0, 0.1, (2, dim, dim)) + np.eye(dim), "b": np.log(shape.q)}
+    return {k: a.astype(np.float32) for k, a in p.items()}
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    """In place. Where the exponential overflows, the result is 0."""
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.reciprocal(z, out=z)
 
 
 def contrast(h, e, own_bias, noise_bias, own_lq, noise_lq, t, w, noise: int):
@@ -109,9 +138,16 @@ def contrast(h, e, own_bias, noise_bias, own_lq, noise_lq, t, w, noise: int):
 
     A block shares its noise rows ``w``, which stand for ``noise`` of each token.
     """
-    own = 1 / (1 + np.exp(-np.clip((h * e[t]).sum(1) + own_bias - own_lq, -30, 30))) - 1
-    other = noise / len(w) / (1 + np.exp(-np.clip(h @ e[w].T + noise_bias - noise_lq, -30, 30)))
-    return own, other, own[:, None] * e[t] + other @ e[w]
+    et, ew = e[t], e[w]
+    own = logistic(np.einsum("nd,nd->n", h, et) + own_bias - own_lq) - 1
+    z = h @ ew.T
+    z += noise_bias - noise_lq
+    other = logistic(z)
+    other *= np.float32(noise / len(w))
+    dh = other @ ew
+    et *= own[:, None]
+    dh += et
+    return own, other, dh
 
 
 def step(p, s, r, shape: Shape, contexts: np.ndarray, codes: np.ndarray, noise: int = 10, shared: int = 64, rate: float = 0.1) -> None:
@@ -119,29 +155,30 @@ def step(p, s, r, shape: Shape, contexts: np.ndarray, codes: np.ndarray, noise:
     n, k, base = len(codes), shape.k, shape.base
     x = [shape.embed(p["R"], contexts[:, c]) for c in (0, 1)]
     h = x[0] @ p["C"][0] + x[1] @ p["C"][1]
-    t, w, lq = np.minimum(codes, k - 1), np.searchsorted(shape.cdf, r.random(shared)), np.log(noise * shape.q)
+    t, w, lq = np.minimum(codes, k - 1), np.searchsorted(shape.cdf, r.random(shared)), shape.lq + np.float32(np.log(noise))
     own, other, dh = contrast(h, p["E"], p["b"][t], p["b"][w], lq[t], lq[w], t, w, noise)
     rows, values = [t, w], [own[:, None] * h, other.T @ h]
     gb = np.bincount(np.concatenate(rows), np.concatenate([own, other.sum(0)]), k)
     far = np.flatnonzero(codes >= k - 1)
     if len(far):
-        prefix, hf, lq = np.zeros(len(far), int), h[far], np.log(noise / base)
+        prefix, hf, lq = np.zeros(len(far), int), h[far], np.float32(np.log(noise / base))
         for j, d in enumerate(shape.digits(codes[far])):
             u, low = r.integers(0, base, shared // 2), k + j * base
             bias = shape.bias[j]
-            a, o, dhf = contrast(hf, p["E"], bias[prefix, d], bias[prefix[:, None], u], lq, lq, low + d, low + u, noise)
+            a, o, dhf = contrast(hf, p["E"], bias[prefix, d], bias[:, u][prefix], lq, lq, low + d, low + u, noise)
             dh[far] += dhf
             rows += [low + d, low + u]
             values += [a[:, None] * hf, o.T @ hf]
             prefix = prefix * base + d
-    dh, scale = dh / n**0.5, n**0.5
+    dh, scale = dh / np.float32(n**0.5), np.float32(n**0.5)
     g = {"E": scatter(np.concatenate(rows), np.concatenate(values), shape.rows) / scale, "b": gb / scale, "C": np.stack([x[0].T @ dh, x[1].T @ dh]), "R": 0.0}
     for c in (0, 1):
         at, row = shape.parts(contexts[:, c])
         g["R"] = g["R"] + scatter(row, (dh @ p["C"][c].T)[at], shape.rows)
     for name in p:
-        s[name] += g[name] ** 2
-        p[name] -= rate * g[name] / np.sqrt(s[name])
+        now = g[name].astype(np.float32)
+        s[name] += now * now
+        p[name] -= np.float32(rate) * now / np.sqrt(s[name])
 
 
 def train_on(texts: Iterator[np.ndarray], shape: Shape, block: int = 1024) -> tuple[dict[str, np.ndarray], int]:
@@ -157,6 +194,7 @@ def train_on(texts: Iterator[np.ndarray], shape: Shape, block: int = 1024) -> tu
             step(p, s, r, shape, c[i : min(i + block, full)], t[i : min(i + block, full)])
         return [(c[full:], t[full:])]
 
+    np.seterr(over="ignore")  # see logistic()
     for x in texts:
         pad = np.concatenate([[END, END], x])
         held.append((np.stack([pad[:-2], pad[1:-1]], 1), x))
@@ -182,7 +220,7 @@ def fit(texts: DataFrame, ids: dict[str, int], shape: Shape) -> dict[str, np.nda
         p, total = train_on((codes.of(tokens(t)) for t in every), shape)
         yield pa.RecordBatch.from_pydict({"total": [total], "p": [pickle.dumps(p)]})
 
-    out, n = {k: np.zeros_like(a) for k, a in start(shape).items()}, 0
+    out, n = {k: np.zeros(a.shape) for k, a in start(shape).items()}, 0
     for r in texts.coalesce(max(1, sc.defaultParallelism)).mapInArrow(one, "total long, p binary").where("total > 0").collect():
         n += r["total"]
         for k, a in pickle.loads(r["p"]).items():
@@ -192,16 +230,21 @@ def fit(texts: DataFrame, ids: dict[str, int], shape: Shape) -> dict[str, np.nda
 
 class Model:
     def __init__(self, p: dict[str, np.ndarray], shape: Shape):
-        self.shape, self.e, self.b = shape, p["E"].astype(np.float32), p["b"].astype(np.float32)
-        self.bias = [x.astype(np.float32) for x in shape.bias]
+        self.shape, e, self.b = shape, p["E"].astype(np.float32), p["b"].astype(np.float32)
+        self.top = np.ascontiguousarray(e[: shape.k].T)
+        self.low = [np.ascontiguousarray(e[k : k + shape.base].T) for k in range(shape.k, shape.rows, shape.base)]
         self.ctx = [(p["R"] @ p["C"][c]).astype(np.float32) for c in (0, 1)]
 
     @staticmethod
     def normal(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        top = z.max(1)
-        return z[np.arange(len(z)), at] - top - np.log(np.exp(z - top[:, None]).sum(1))
-
-    def log_probabilities(self, codes: np.ndarray, block: int = 2048) -> np.ndarray:
+        """Logarithms of the normalised exponentials at one place of each row; z is overwritten."""
+        if len(z) and z.max() > 60:
+            z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), at]
+        np.exp(z, out=z)
+        return own - np.log(z @ np.ones(z.shape[1], np.float32))
+
+    def log_probabilities(self, codes: np.ndarray, block: int = 512) -> np.ndarray:
         """Normalised log10 probabilities of the classes and leaves of texts, each ending in END."""
         k, base = self.shape.k, self.shape.base
         one, two = np.concatenate([[END], codes[:-1]]), np.concatenate([[END, END], codes[:-2]])[: len(codes)]
@@ -210,19 +253,22 @@ class Model:
         for i in range(0, len(codes), block):
             c = codes[i : i + block]
             h = self.shape.embed(self.ctx[0], two[i : i + block]) + self.shape.embed(self.ctx[1], one[i : i + block])
-            out[i : i + len(c)] = self.normal(h @ self.e[:k].T + self.b, np.minimum(c, k - 1))
+            z = h @ self.top
+            z += self.b
+            out[i : i + len(c)] = self.normal(z, np.minimum(c, k - 1))
             far = np.flatnonzero(c >= k - 1)
             prefix, h = np.zeros(len(far), int), h[far]
             for j, d in enumerate(self.shape.digits(c[far]) if len(far) else []):
-                low = k + j * base
-                out[i + far] += self.normal(h @ self.e[low : low + base].T + self.bias[j][prefix], d)
+                z = h @ self.low[j]
+                z += self.shape.bias[j][prefix]
+                out[i + far] += self.normal(z, d)
                 prefix = prefix * base + d
         return out / np.log(10)
 
 
-def tokens(text: str | None) -> list[str]:
-    # Lower-casing bytes changes A-Z only.
-    return TOKEN.findall((text or "").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"))
+def tokens(text: str | None) -> list[bytes]:
+    # Lower-casing bytes changes A-Z only, and splitting them separates at 0x20 and 0x09 to 0x0D only.
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
 def leaf_mass(counts: DataFrame, top: list[str], rare_words: int) -> np.ndarray:
@@ -259,6 +305,8 @@ def score(docs: DataFrame, classes: int = 400) -> DataFrame:
     def local(batches):
         model, hot, ids, leaf_log = share.value
         codes = Codes(ids, rare, len(leaf_log))
+        # log10 of the smoothed count, and whether a word has a class: of hot words.
+        known_as = {w.encode(): (math.log10(c + 1.0), w in ids) for w, c in hot.items()}
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             split = [tokens(t) for t in batch.column("text").to_pylist()]
             every = [codes.of(w) for w in split]
@@ -269,14 +317,14 @@ def score(docs: DataFrame, classes: int = 400) -> DataFrame:
             for i, w in enumerate(split):
                 known, base, s, rest = int(ends > 0), end_base, 0.0, {}
                 for a, k in Counter(w).items():
-                    c = hot.get(a)
-                    if c is None:
-                        rest[a] = k
+                    at = known_as.get(a)
+                    if at is None:
+                        rest[a.decode()] = k
                         continue
+                    c, classed = at
                     known += k
-                    c = np.log10(c + 1.0)
                     base += k * (c - base_of)
-                    if a not in ids:
+                    if not classed:
                         s += k * c
                 out["score"][i] += s
                 for name, x in (("known", known), ("base", base), ("words", list(rest)), ("times", list(rest.values()))):

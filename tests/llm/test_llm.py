@@ -210,7 +210,7 @@ def test_lm_probabilities_sum_to_one():
     words = [f"w{i}" for i in range(60)]
     shape = lm.Shape(np.array([5.0, 9, 8, 70]), np.arange(1.0, 28))
     codes = lm.Codes({"a": 1, "b": 2}, 3, 27)
-    p, _ = lm.train_on((codes.of(list(r.choice(words, 50))) for _ in range(40)), shape)
+    p, _ = lm.train_on((codes.of([w.encode() for w in r.choice(words, 50)]) for _ in range(40)), shape)
     model = lm.Model(p, shape)
     for left in ([1, 2], [3 + 7, 1], [3 + 26, 3]):
         every = [sum(10 ** model.log_probabilities(np.array([*left, c, 0]))[2] for c in range(a, b)) for a, b in ((0, 3), (3, 30))]
