@@ -39,3 +39,13 @@ def tagged(events: DataFrame, tags: DataFrame, conditions: Sequence[tuple[str, s
     if any(only is not None for _, _, only in conditions):
         named = tags.join(events.select(event_id, kind), event_id)
     return events.join(named.where(hit).select(event_id).distinct(), event_id, "left_semi")
+
+
+def with_any(child: DataFrame, key: str, predicate: Column) -> DataFrame:
+    """Keys of the parents with a child row that satisfies the predicate, which reaches the child table's scan."""
+    return child.where(predicate).select(key).distinct()
+
+
+def with_all(child: DataFrame, key: str, predicate: Column) -> DataFrame:
+    """Keys of the parents that have child rows and none that fails the predicate; null counts as failing."""
+    return child.groupBy(key).agg(F.bool_and(F.coalesce(predicate, F.lit(False))).alias("_all")).where("_all").select(key)

@@ -157,3 +157,46 @@ def timeline(model: Model, events: DataFrame, stream: str, id, seq: str) -> Data
 
 def over(aggregate: Column, w) -> Column:
     return aggregate.over(w)
+
+def stepped(types) -> Callable[[str], Column]:
+    """One up for each such event, but for one that made the row, which starts at 0; for ``flat_upsert``."""
+    return lambda seq: F.count(F.when(of(types) & (F.col(seq) > F.col("_made")), 1))
+
+
+def flat_upsert(events: DataFrame, key: str, seq: str, columns: Mapping[str, Callable[[str], Column]], full: Sequence[str], partial: Sequence[str] = (), deletes: Sequence[str] = (), kind: str = "event_type") -> DataFrame:
+    """A flat table whose rows only events of the types ``full`` insert: those that map every required column.
+
+    Events of the types ``partial`` change a row that is there and do nothing without one; ``deletes`` remove it,
+    and later events start anew. The first such event of each key is found by an aggregate, not by a window.
+    """
+    mapped = events.where(of([*full, *partial, *deletes], kind) & F.col(key).isNotNull())
+    live = since_delete(mapped, [key], seq, of(list(deletes), kind)) if deletes else mapped
+    made = live.where(of(list(full), kind)).groupBy(key).agg(F.min(seq).alias("_made"))
+    held = live.join(made, key).where(F.col(seq) >= F.col("_made"))
+    return held.groupBy(key).agg(*[rule(seq).alias(name) for name, rule in columns.items()])
+
+
+def natural_keys(events: DataFrame, value: Column, stream: str, seq: str) -> DataFrame:
+    """natural_key, stream: each stream's key as its last event that names one has it (``value``, else null).
+
+    A key that two streams hold in the end is an error when the query runs."""
+    own = events.withColumn("_v", value).where("_v is not null").groupBy(stream).agg(F.max_by("_v", seq).alias("natural_key"))
+    held = own.groupBy("natural_key").agg(F.min(stream).alias(stream), F.count("*").alias("_n"))
+    return held.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("two streams hold one natural key")).cast("string").isNull()).otherwise(True)).drop("_n")
+
+
+def by_natural_key(events: DataFrame, keys: DataFrame, wanted, stream: str) -> DataFrame:
+    """The events of the stream that holds the key ``wanted``; none if no stream does."""
+    return events.join(F.broadcast(keys.where(F.col("natural_key") == wanted).select(stream)), stream, "left_semi")
+
+
+def assign_tags(tags: DataFrame, events: DataFrame, where: Column, tag: str, value: Column, seq: str = "event_id") -> DataFrame:
+    """The tag table with ``tag`` on every event that satisfies ``where``; a tag that is there stays one row."""
+    new = events.where(where).select(seq, F.lit(tag).alias("tag"), value.alias("value"))
+    return tags.select(seq, "tag", "value").unionByName(new).distinct()
+
+
+def repaired_progress(progress: DataFrame, events: DataFrame, seq: str) -> DataFrame:
+    """Progress rows with none beyond the greatest event, and the high-water mark set to it."""
+    top = events.agg(F.coalesce(F.max(seq), F.lit(0))).scalar()
+    return progress.withColumn("last_seq", F.when(F.col("name") == "HighWaterMark", top).otherwise(F.least(F.col("last_seq"), top)))

@@ -132,3 +132,16 @@ def delete_tenant(table: DataFrame, tenant: str) -> DataFrame:
 def write(table: DataFrame, path: str, *partitions: str) -> None:
     """A state as Parquet, by tenant or another partition column, so that filters on it prune folders."""
     table.write.mode("overwrite").partitionBy(*partitions).parquet(path)
+
+
+def hilo(batch: DataFrame, high: int, size: int = 1000, key: str = "id", tasks: int = 2**20) -> DataFrame:
+    """Ids for new rows from blocks of ``size``: a task takes the block of its own number, counted from ``high``,
+    and then every ``tasks``-th one.
+
+    Ids are distinct and above ``high * size``, with gaps, and need no shuffle. Rows that are computed again may
+    get other ids, so write the result before using it twice. More than ``tasks`` tasks are an error.
+    """
+    n = F.monotonically_increasing_id()
+    task, row = F.shiftright(n, 33), n.bitwiseAND(F.lit(2**33 - 1))
+    block = F.lit(high) + F.floor(row / size) * F.lit(tasks) + F.when(task < tasks, task).otherwise(F.raise_error(F.lit("too many tasks")).cast("bigint"))
+    return batch.withColumn(key, block * size + row % size + 1)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from foldspark.functions import distance, text
 from foldspark.operators import documents as docs
-from foldspark.operators import paging, patching, predicates, streams
+from foldspark.operators import joins, paging, patching, streams
 from foldspark.plans.registry import query
 from foldspark.sources.tables import table
 
@@ -41,12 +41,6 @@ def distinct_by(spark, sf):
     return docs.distinct_by(t, ["user_id"], F.col("event_id"), latest=True).select("user_id", "event_id", "event_type")
 
 
-def children(spark, sf):
-    """Orders with their line items as an array of structs."""
-    line = F.struct(F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"), F.col("l_returnflag").alias("flag"))
-    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("items"))
-
-
 def q(name, sql, build):
     """Register a one-expression query over the scan function ``t``."""
     query(name, sql)(lambda spark, sf: build(lambda n: table(spark, sf, n)))
@@ -80,24 +74,22 @@ q("vector_nearest", "WITH o AS (SELECT embedding AS e FROM embeddings WHERE vec_
 
 @query("child_any", "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'R'")
 def child_any(spark, sf):
-    pred = predicates.any_of(F.col("items"), lambda x: (x["qty"] > 49) & (x["flag"] == "R"))
-    return children(spark, sf).where(pred).select("l_orderkey")
+    return joins.with_any(table(spark, sf, "lineitem"), "l_orderkey", (F.col("l_quantity") > 49) & (F.col("l_returnflag") == "R"))
 
 
 @query("child_all", "SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_and(l_quantity > 20)")
 def child_all(spark, sf):
-    return children(spark, sf).where(predicates.all_of(F.col("items"), lambda x: x["qty"] > 20)).select("l_orderkey")
+    return joins.with_all(table(spark, sf, "lineitem"), "l_orderkey", F.col("l_quantity") > 20)
 
 
 @query("child_count_sum", "SELECT l_orderkey, count(*) FILTER (WHERE l_quantity > 25) AS n, sum(l_quantity) AS qty FROM lineitem GROUP BY l_orderkey")
 def child_count_sum(spark, sf):
-    qty = F.aggregate("items", F.lit(0.0), lambda s, x: s + x["qty"])
-    return children(spark, sf).select("l_orderkey", F.size(F.filter("items", lambda x: x["qty"] > 25)).alias("n"), qty.alias("qty"))
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.when(F.col("l_quantity") > 25, 1)).alias("n"), F.sum("l_quantity").alias("qty"))
 
 
 @query("select_many", "SELECT l_orderkey, l_linenumber AS line, l_quantity AS qty FROM lineitem WHERE l_quantity > 45")
 def select_many(spark, sf):
-    return children(spark, sf).select("l_orderkey", F.inline("items")).where("qty > 45").select("l_orderkey", "line", "qty")
+    return table(spark, sf, "lineitem").where("l_quantity > 45").select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("qty"))
 
 
 @query("patch_document", "SELECT c_custkey, 'VIP' AS segment, c_acctbal + 10 AS balance FROM customer WHERE c_nationkey = 3")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foldspark.functions import text
-from foldspark.operators import ordering, paging, patching, store, streams, terminals
+from foldspark.operators import joins, layout, ordering, paging, patching, sessions, store, streams, terminals
 from foldspark.operators import projections as pr
 from foldspark.streaming import projections as live
 
@@ -120,3 +120,59 @@ def test_projection_merges_batches_and_replays(spark, tmp_path):
     assert run("two") == {("a", 15, 15.0), ("b", 15, 15.0)} and len(live.versions_of(spark, sink)) == 2
     live.rebuild(spark.read.schema(schema).parquet(src), fold, str(tmp_path / "anew"))
     assert {tuple(r) for r in live.read_model(spark, str(tmp_path / "anew")).collect()} == {("a", 15, 15.0), ("b", 15, 15.0)}
+
+
+def test_session_tracking(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    none, same, dirty = (sessions.Session(t, m) for m in ("none", "identity", "dirty"))
+    assert none.load(1) is not none.load(1)
+    assert same.load(1) is same.load(1) and same.load(9) is None
+    same.load(1)["name"] = "x"
+    assert same.changes() == []
+    dirty.load_many([2, 1])[0]["name"] = "x"
+    dirty.store({"id": 3, "name": "c"})
+    assert sorted(map(tuple, dirty.save().collect())) == [(1, "a"), (2, "x"), (3, "c")]
+    assert dirty.changes() == []
+    dirty.evict(1)
+    assert dirty.load(1) == {"id": 1, "name": "a"}
+
+
+def test_chunks_are_replaced_and_pruned(spark, tmp_path):
+    t = spark.sql("SELECT id, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(CAST(id AS INT)) AS ts FROM range(20)")
+    layout.write_chunks(t, str(tmp_path / "h"), "ts", 7)
+    layout.write_chunks(t.where("id < 7").withColumn("id", F.col("id") + 100), str(tmp_path / "h"), "ts", 7)
+    got = layout.read_chunks(spark, str(tmp_path / "h"))
+    assert sorted(r.id for r in got.collect()) == [*range(7, 20), *range(100, 107)]
+    late = layout.read_chunks(spark, str(tmp_path / "h"), since=F.lit("2024-01-08"), until=F.lit("2024-01-15"))
+    assert sorted(r.id for r in late.collect()) == list(range(7, 14))
+    kept = layout.retained(t.unionByName(spark.sql("SELECT 99L AS id, CAST(NULL AS timestamp_ntz) AS ts")), "ts", 7, F.lit("2024-01-14").cast("date"))
+    assert sorted(r.id for r in kept.collect()) == [*range(7, 20), 99]
+
+
+def test_flat_partial_mapping_updates_only(spark):
+    e = spark.createDataFrame([(1, "a", "plus"), (2, "a", "new"), (3, "a", "plus"), (4, "b", "plus"), (5, "c", "new"), (6, "c", "gone"), (7, "c", "plus"), (8, None, "new")], "seq long, k string, event_type string")
+    out = pr.flat_upsert(e, "k", "seq", {"n": pr.stepped(["new", "plus"])}, ["new"], ["plus"], ["gone"])
+    assert [tuple(r) for r in out.collect()] == [("a", 1)]
+
+
+def test_natural_keys(spark):
+    e = spark.createDataFrame([(1, 1, "x"), (2, 1, "y"), (3, 2, "x"), (4, 2, None)], "seq long, stream long, code string")
+    keys = pr.natural_keys(e, F.col("code"), "stream", "seq")
+    assert sorted(map(tuple, keys.collect())) == [("x", 2), ("y", 1)]
+    assert sorted(r.seq for r in pr.by_natural_key(e, keys, "x", "stream").collect()) == [3, 4]
+    twice = e.unionByName(spark.createDataFrame([(5, 1, "x")], e.schema))
+    with pytest.raises(Exception, match="natural key"):
+        pr.natural_keys(twice, F.col("code"), "stream", "seq").collect()
+
+
+def test_ids_and_hierarchies(spark):
+    ids = [r.id for r in store.hilo(spark.range(250).withColumnRenamed("id", "v").repartition(3), 2, 10).collect()]
+    assert len(set(ids)) == 250 and min(ids) > 20
+    assert sessions.descendants({"a": None, "b": "a", "c": "b", "d": None}, "a") == ["a", "b", "c"]
+
+
+def test_empty_tables_give_no_groups(spark):
+    none = spark.createDataFrame([], "k long, v double")
+    assert joins.with_any(none, "k", F.col("v") > 1).count() == joins.with_all(none, "k", F.col("v") > 1).count() == 0
+    some = spark.createDataFrame([(1, 2.0), (1, None), (2, 3.0)], none.schema)
+    assert [r.k for r in joins.with_all(some, "k", F.col("v") > 1).collect()] == [2]

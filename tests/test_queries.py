@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from foldspark.plans import core, events, filters, writes  # noqa: F401
+from foldspark.plans import core, events, filters, maintenance, writes  # noqa: F401
 from foldspark.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
