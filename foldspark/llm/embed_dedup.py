@@ -317,3 +317,12 @@ def near_duplicates(vectors: DataFrame, low: float = 0.9, shards: int = SHARDS,
     out = keyed.select("vec_id", "g").join(per.select("g", "n_links", "least"), "g", "left")
     cid = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("least"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(False)).alias("kept"))
+
+
+#: The same by all pairs, for tables that are small enough for it.
+SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS at_ FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.at_),
+c AS (SELECT vec_id, min(at_) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c"""

@@ -373,3 +373,15 @@ def one_of_each(docs: DataFrame, percent: int = 80, **how) -> DataFrame:
     gone = cut(found.where(~F.col("first")).select("row"))
     left = base.select("row", "doc", "text").join(small(gone, gone.count()), "row", "left_anti")
     return left.select(*[F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in docs.columns])
+
+
+#: The same by all pairs that share a shingle, for tables that are small enough for it.
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both_ FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p WHERE 100 * both_ >= 85 * (na + nb - both_)),
+r AS (SELECT doc_id, doc_id AS at_ FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.at_),
+c AS (SELECT doc_id, min(at_) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c USING (doc_id)"""

@@ -50,4 +50,4 @@ def op10_decontaminate(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_embedding_dedup, op3_license_scan, op4_language_id, op5_token_counts, op6_mix_sources, op7_pii, op8_minhash, op9_lm_score, op10_decontaminate)}
-SQL = {"op6_mix_sources": mix.SQL, "op10_decontaminate": decontaminate.SQL}
+SQL = {"op2_embedding_dedup": embed_dedup.SQL, "op8_minhash": minhash.SQL, "op6_mix_sources": mix.SQL, "op10_decontaminate": decontaminate.SQL}

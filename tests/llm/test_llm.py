@@ -5,7 +5,10 @@ import random
 import re
 import textwrap
 
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -329,3 +332,39 @@ def test_edges(spark, edge):
         assert decontaminate.report(d, bench).count() == n
     assert {r["doc_id"] for r in decontaminate.report(edge, bench).where("contaminated").collect()} == {3, 4}
     assert decontaminate.report(edge, bench.where("false")).where("contaminated").count() == 0
+
+
+def against_sql(df, sql, **tables):
+    """The rows of ``df`` are those of the SQL over the given Parquet files."""
+    con = duckdb.connect()
+    for name, path in tables.items():
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{path}'")
+    cur = con.execute(sql)
+    names = [d[0] for d in cur.description]
+    cols = sorted(df.columns)
+    assert sorted(names) == cols
+    want = sorted((tuple(r[names.index(c)] for c in cols) for r in cur.fetchall()), key=repr)
+    assert sorted((tuple(r[c] for c in cols) for r in df.collect()), key=repr) == want
+    return want
+
+
+def test_minhash_sql_with_groups(spark, tmp_path):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words[i : i + 60]) for i in range(0, 300, 30)]
+    texts += [texts[0], texts[0] + " more", texts[1].upper(), "one two", "ONE\ttwo", "", None, " \n ", " ".join(words[:60] + ["end"] * 15)]
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), tmp_path / "d.parquet")
+    rows = against_sql(minhash.near_duplicates(spark.read.parquet(str(tmp_path / "d.parquet")), percent=85), minhash.SQL, documents=tmp_path / "d.parquet")
+    assert len(rows) - len({r[0] for r in rows}) == 5
+
+
+def test_embedding_sql_with_links(spark, tmp_path):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(300, 16))
+    for i in range(0, 120, 3):  # links of many angles around the threshold, and chains
+        x[i + 1] = x[i] + r.normal(size=16) * 0.3
+        x[i + 2] = x[i + 1] + r.normal(size=16) * 0.45
+    x[200:230] = x[200]
+    rows = [*x.astype(np.float32).tolist(), None, [0.0] * 16, [float("nan")] + [1.0] * 15]
+    pq.write_table(pa.table({"vec_id": list(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    got = against_sql(embed_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "e.parquet"))), embed_dedup.SQL, embeddings=tmp_path / "e.parquet")
+    assert len({g[0] for g in got}) < 260
