@@ -32,8 +32,9 @@ def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
     )
 
 
-def after(df: DataFrame, keys: list[tuple[str, bool]], last: dict | None, size: int) -> DataFrame:
-    """The ``size`` rows after ``last`` in the order of ``keys`` (column, descending); the last key is unique.
+def after(df: DataFrame, keys: list[tuple[str, bool]], last: dict | None, size: int | None) -> DataFrame:
+    """The ``size`` rows after ``last`` in the order of ``keys`` (column, descending), all without a size;
+    the last key is unique.
 
     A null key stands last going up and first going down, as in the order.
     """
@@ -49,7 +50,8 @@ def after(df: DataFrame, keys: list[tuple[str, bool]], last: dict | None, size:
                 step = step & F.col(name).eqNullSafe(F.lit(last[name]))
             cond = cond | step
         df = df.where(cond)
-    return df.orderBy(*[by(F.col(k), d) for k, d in keys]).limit(size)
+    df = df.orderBy(*[by(F.col(k), d) for k, d in keys])
+    return df if size is None else df.limit(size)
 
 
 def cursor(row: dict, keys: list[tuple[str, bool]]) -> str:
@@ -57,7 +59,7 @@ def cursor(row: dict, keys: list[tuple[str, bool]]) -> str:
     return VERSION + base64.urlsafe_b64encode(json.dumps([row[k] for k, _ in keys]).encode()).decode()
 
 
-def seek(df: DataFrame, keys: list[tuple[str, bool]], token: str | None, size: int) -> DataFrame:
+def seek(df: DataFrame, keys: list[tuple[str, bool]], token: str | None, size: int | None) -> DataFrame:
     """The page after the row that ``token`` was made of."""
     if token is None:
         return after(df, keys, None, size)

@@ -176,3 +176,12 @@ def test_empty_tables_give_no_groups(spark):
     assert joins.with_any(none, "k", F.col("v") > 1).count() == joins.with_all(none, "k", F.col("v") > 1).count() == 0
     some = spark.createDataFrame([(1, 2.0), (1, None), (2, 3.0)], none.schema)
     assert [r.k for r in joins.with_all(some, "k", F.col("v") > 1).collect()] == [2]
+
+
+def test_page_after_null_has_all_rows(spark, tmp_path):
+    from foldspark.plans import filters  # noqa: F401
+    from foldspark.plans.registry import QUERIES
+
+    columns = "id + 1 AS o_orderkey", "CAST(5 AS BIGINT) AS o_custkey", "'F' AS o_orderstatus", "1.0D AS o_totalprice", "DATE'1995-01-01' AS o_orderdate", "'1-URGENT' AS o_orderpriority"
+    spark.range(100_003).selectExpr(*columns).write.parquet(str(tmp_path / "orders.parquet"))
+    assert QUERIES["page_after_null"](spark, str(tmp_path)).count() == 100_003
