@@ -1,18 +1,20 @@
 """The corpus pipeline: language ID, near-dedup, decontamination, personal data, mixing."""
 
 from foldspark.llm import decontaminate, langid, minhash, mix, pii
-from foldspark.llm.common import cut, drop
+from foldspark.llm.common import cut, drop, short_batches
 from foldspark.sources.tables import table
 
 
 def language(spark, docs, sf_dir):
     """Keeps documents with a predicted language; null texts and texts without a letter have none."""
+    short_batches(spark)
     return langid.kept(docs)
 
 
 def near_dedup(spark, docs, sf_dir):
     """Keeps one document of each near-duplicate group, linked from a similarity of 0.8 on five-word
     shingles: the first row of the group's least doc_id. Rows of equal id and unlike texts all stay."""
+    short_batches(spark)
     return minhash.one_of_each(docs, percent=80)
 
 
@@ -23,6 +25,7 @@ def decontamination(spark, docs, sf_dir):
 
 def personal_data(spark, docs, sf_dir):
     """Keeps every document, with personal data masked."""
+    short_batches(spark)
     return pii.mask(docs)
 
 

@@ -93,6 +93,18 @@ def slices(batch: pa.RecordBatch, text: pa.Array, most: int = 4_000_000) -> Iter
         low = high
 
 
+#: Texts that Spark hands to Python at once; by its own default it is 10,000, however long they are.
+TEXTS_PER_BATCH = 1000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches to TEXTS_PER_BATCH rows, since both the JVM and Python hold whole
+    ones; a lower setting stays. Plans made later in the session follow it too; results don't depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= TEXTS_PER_BATCH:
+        spark.conf.set(key, str(TEXTS_PER_BATCH))
+
+
 #: Links that one task joins in memory (two longs each) before links of different tasks meet.
 EDGES_PER_TASK = 500_000
 

@@ -368,3 +368,15 @@ def test_embedding_sql_with_links(spark, tmp_path):
     pq.write_table(pa.table({"vec_id": list(range(len(rows))), "embedding": pa.array(rows, pa.list_(pa.float32()))}), tmp_path / "e.parquet")
     got = against_sql(embed_dedup.near_duplicates(spark.read.parquet(str(tmp_path / "e.parquet"))), embed_dedup.SQL, embeddings=tmp_path / "e.parquet")
     assert len({g[0] for g in got}) < 260
+
+
+@pytest.mark.parametrize("stage", ["language", "near_dedup", "personal_data"])
+def test_pipeline_hands_few_texts_to_python_at_once(spark, stage):
+    def lengths(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    other = spark.newSession()
+    docs = other.createDataFrame([(i, f"some words of text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
+    getattr(corpus_pipeline, stage)(other, docs, SF)
+    assert max(r["n"] for r in other.range(6000).coalesce(1).mapInArrow(lengths, "n long").collect()) <= 1000
