@@ -380,3 +380,26 @@ def test_pipeline_hands_few_texts_to_python_at_once(spark, stage):
     docs = other.createDataFrame([(i, f"some words of text {i}", "en") for i in range(20)], "doc_id long, text string, lang string")
     getattr(corpus_pipeline, stage)(other, docs, SF)
     assert max(r["n"] for r in other.range(6000).coalesce(1).mapInArrow(lengths, "n long").collect()) <= 1000
+
+
+def test_lm_normalisers_after_two_classes_are_kept(monkeypatch):
+    r, exp, done = np.random.default_rng(3), np.exp, []
+    shape = lm.Shape(np.array([5.0, 9, 8, 70]), np.arange(1.0, 28))
+    p, _ = lm.train_on((np.append(r.integers(1, 30, 50), 0) for _ in range(40)), shape)
+    model, codes = lm.Model(p, shape), np.append(r.integers(1, 3, 500), 0)
+    monkeypatch.setattr(lm.np, "exp", lambda x, *a, **k: done.append(np.size(x)) or exp(x, *a, **k))
+    got = model.log_probabilities(codes)
+    assert not done
+    two, one = np.append([0, 0], codes)[:-2], np.append(0, codes)[:-1]
+    z = (p["R"][two] @ p["C"][0] + p["R"][one] @ p["C"][1]) @ p["E"][:4].T + p["b"]
+    assert got == pytest.approx((z[np.arange(501), codes] - np.log(exp(z).sum(1))) / np.log(10), abs=1e-5)
+
+
+def test_lm_words_in_batches_and_few_hot_words(spark, monkeypatch):
+    texts = ["A b\x0bc\x1cd ", None, "", "\u00c4\u00d6 \u2003x\x85y \t\r\n\x0c", " a b a", "e e f g"]
+    words, owner = lm.split(pa.array(texts))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in (t or "").encode().lower().split()] and owner.tolist() == [0, 0, 0, 3, 3, 4, 4, 4, 5, 5, 5, 5]
+    every = lm.score(docs_of(spark, texts * 5), classes=2).orderBy("doc_id").toPandas()
+    monkeypatch.setattr(lm, "HOT", 2)
+    few = lm.score(docs_of(spark, texts * 5), classes=2).orderBy("doc_id").toPandas()
+    assert np.allclose(every.to_numpy(float), few.to_numpy(float), atol=1e-4)
